@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, rules, urls
+from . import bpe, media, mixing, quality, rules, simhash, substring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that an earlier document has, or nearly has."""
+    return substring.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a mu-law WAV file: digests of the file and of the payload read back from it, and its feature."""
     out = media.load(media.store(documents(spark, sf_dir).select("doc_id", "text")), pcm=None)
@@ -73,6 +78,12 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.components(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a ranker learned from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -83,11 +94,13 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compact_windows": op1_compact_windows,
     "op2_telephony_audio": op2_telephony_audio,
     "op3_host_rules": op3_host_rules,
     "op4_forced_boundary_bpe": op4_forced_boundary_bpe,
     "op5_weighted_urls": op5_weighted_urls,
     "op7_systematic_mix": op7_systematic_mix,
+    "op8_simhash_bk_trees": op8_simhash_bk_trees,
     "op10_bradley_terry": op10_bradley_terry,
 }
 
