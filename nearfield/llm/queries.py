@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, rules, simhash, substring, urls
+from . import bpe, html, media, mixing, quality, rules, simhash, substring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op5_weighted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's winning path."""
+    out = html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source size, target and words taken of every document."""
     out = mixing.systematic(documents(spark, sf_dir).select("doc_id", "source", "text"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_host_rules": op3_host_rules,
     "op4_forced_boundary_bpe": op4_forced_boundary_bpe,
     "op5_weighted_urls": op5_weighted_urls,
+    "op6_consensus_paths": op6_consensus_paths,
     "op7_systematic_mix": op7_systematic_mix,
     "op8_simhash_bk_trees": op8_simhash_bk_trees,
     "op10_bradley_terry": op10_bradley_terry,

@@ -220,3 +220,10 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 def hex_digits(fingerprint: Column) -> Column:
     """Sixteen lowercase digits of a fingerprint."""
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
+
+
+def first_of_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each component: the one with the smallest id.  Rows without an id are not judged and stay."""
+    kept = components(df, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    return named.unionByName(df.where(F.col(doc_id).isNull()))
