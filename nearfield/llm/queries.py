@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, mixing, quality, rules, simhash, substring, urls
+from . import bpe, html, lm, media, mixing, quality, rules, simhash, substring, urls
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and interpolated log10 probability of every document."""
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a ranker learned from the labels outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_consensus_paths": op6_consensus_paths,
     "op7_systematic_mix": op7_systematic_mix,
     "op8_simhash_bk_trees": op8_simhash_bk_trees,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_bradley_terry": op10_bradley_terry,
 }
 
