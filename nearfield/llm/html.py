@@ -227,7 +227,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     by_path = written(votes.where("path is not null").groupBy("host", "path").agg(F.sum("vote").alias("votes")), "votes")
     best = F.max_by("path", F.struct("votes", "path"))
     everywhere = by_path.groupBy("path").agg(F.sum("votes").alias("votes")).agg(best.alias("overall"))
-    return by_path.groupBy("host").agg(best.alias("path")).crossJoin(F.broadcast(everywhere))  # one row
+    return by_path.groupBy("host").agg(best.alias("path")).withColumn("overall", everywhere.scalar())
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
@@ -238,7 +238,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
     """
     names = {text, html}
     kept = [f for f in pages.schema.fields if f.name not in names]
-    paths = written(host_paths(pages, url, html), "paths").withColumnRenamed("host", "__host")
+    paths = written(host_paths(pages, url, html), "paths").withColumnsRenamed({"host": "__host", "path": "__path", "overall": "__overall"})
     rows = pages.withColumn("__host_of", host_of(F.col(url))).join(paths, F.col("__host_of") == F.col("__host"), "left")
     schema = T.StructType([*kept, T.StructField(text, T.StringType())])
 
@@ -249,4 +249,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=schema.names)
 
     columns = [F.col(f"`{f.name}`") for f in kept]
-    return rows.select(*columns, F.col(html).alias("__html"), F.col("path").alias("__path"), F.col("overall").alias("__overall")).mapInArrow(run, schema)
+    return rows.select(*columns, F.col(html).alias("__html"), "__path", "__overall").mapInArrow(run, schema)

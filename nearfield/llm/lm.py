@@ -144,11 +144,11 @@ def slices(table: DataFrame, bits: int) -> DataFrame:
 
 
 def totals(parts: DataFrame) -> DataFrame:
-    """(block, part, trained, held, n_trained, n_types): each block's slices with the sums over all blocks.
+    """(block, part, trained, held, n_trained, n_held, n_types): each block's slices with the sums over all blocks.
 
-    n_trained and n_types, of the words of a slice, stand in the row of its first block alone.
+    n_trained, n_held and n_types, of the words of a slice, stand in the row of its first block alone.
     """
-    schema = "block long, part long, trained binary, held binary, n_trained long, n_types long"
+    schema = "block long, part long, trained binary, held binary, n_trained long, n_held long, n_types long"
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
@@ -161,7 +161,7 @@ def totals(parts: DataFrame) -> DataFrame:
         back = [[packed(c[place[a:b]]) for a, b in zip(edges, edges[1:], strict=False)] for c in cut]
         n = len(rows)
         first = lambda x: [int(x), *[0] * (n - 1)]
-        return pa.table([pa.array([r["block"] for r in rows]), pa.array([r["part"] for r in rows]), pa.array(back[0], pa.binary()), pa.array(back[1], pa.binary()), pa.array(first(sums[0][word].sum()), pa.int64()), pa.array(first((sums[0][word] > 0).sum()), pa.int64())], names=["block", "part", "trained", "held", "n_trained", "n_types"])
+        return pa.table([pa.array([r["block"] for r in rows]), pa.array([r["part"] for r in rows]), pa.array(back[0], pa.binary()), pa.array(back[1], pa.binary()), pa.array(first(sums[0][word].sum()), pa.int64()), pa.array(first(sums[1][word].sum()), pa.int64()), pa.array(first((sums[0][word] > 0).sum()), pa.int64())], names=["block", "part", "trained", "held", "n_trained", "n_held", "n_types"])
 
     return parts.groupBy("part").applyInArrow(run, schema)
 
@@ -205,25 +205,32 @@ def _cell(x: np.ndarray) -> np.ndarray:
 
 
 def held_histogram(table: DataFrame, answers: DataFrame, n: int) -> DataFrame:
-    """(cell, tokens): how many held-out tokens have a bucket, bigram and word estimate, estimates without the fold."""
+    """(cell, tokens, pair, word): held-out tokens by bucket and estimates without their fold, and the estimates' sums.
+
+    ``n``: tokens that the estimates are taken from.  A cell's tokens have estimates within a few per cent.
+    """
+    names = ["cell", "tokens", "pair", "word"]
 
     def build(found: list[Resolved]) -> pa.Table:
-        cells = [np.zeros(0, np.int64)]
+        cells, pairs, words = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         for x in found:
             bucket, pair, word = x.estimates(x.trained - x.held, n)
             own = np.repeat(x.folds == HELD_FOLD, x.sizes)
             cells.append(((bucket * (CELLS + 1) + _cell(pair)) * (CELLS + 1) + _cell(word))[own])
-        cell, tokens = np.unique(np.concatenate(cells), return_counts=True)
-        return pa.table([pa.array(cell), pa.array(tokens)], names=["cell", "tokens"])
+            pairs.append(pair[own])
+            words.append(word[own])
+        cell, place = np.unique(np.concatenate(cells), return_inverse=True)
+        sums = [np.bincount(place, w, len(cell)) for w in (None, np.concatenate(pairs), np.concatenate(words))]
+        return pa.table([pa.array(cell), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))], names=names)
 
-    return _met(table, answers, build, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens").alias("tokens"))
+    rows = _met(table, answers, build, "cell long, tokens long, pair double, word double")
+    return rows.groupBy("cell").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
-def learned_weights(cells: np.ndarray, tokens: np.ndarray, n_types: int) -> np.ndarray:
+def learned_weights(cells: np.ndarray, tokens: np.ndarray, pair: np.ndarray, word: np.ndarray, n_types: int) -> np.ndarray:
     """(BUCKETS, 3) mixture weights by EM; a bucket without held-out tokens has those of all tokens together."""
-    value = lambda c: np.where(c > 0, 10.0 ** ((c - CELLS) * CELL_WIDTH), 0.0)
-    bucket, pair, word = cells // (CELLS + 1) ** 2, cells // (CELLS + 1) % (CELLS + 1), cells % (CELLS + 1)
-    parts = np.stack([value(pair), value(word), np.full(len(cells), 1.0 / (n_types + 1))], 1)
+    bucket = cells // (CELLS + 1) ** 2
+    parts = np.stack([pair / np.maximum(tokens, 1), word / np.maximum(tokens, 1), np.full(len(cells), 1.0 / (n_types + 1))], 1)
 
     def em(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
         weights = start
@@ -251,10 +258,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     n_entries = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(2.0 * n_entries / SLICE_ENTRIES, 1)))))
     answers = written(totals(slices(table, bits)), "totals")
-    n, n_types = answers.agg(F.coalesce(F.sum("n_trained"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
-    histogram = held_histogram(table, answers, n).toPandas()  # at most BUCKETS * (CELLS + 1)^2 rows, however many tokens
-    histogram = histogram.sort_values("cell")
-    weights = learned_weights(histogram["cell"].to_numpy(), histogram["tokens"].to_numpy().astype(float), n_types)
+    n, n_held, n_types = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_trained", "n_held", "n_types"))).first()
+    histogram = held_histogram(table, answers, n - n_held).toPandas()  # at most BUCKETS * (CELLS + 1)^2 rows, whatever the input
+    histogram = histogram.sort_values("cell").astype({"tokens": float})
+    weights = learned_weights(*(histogram[c].to_numpy() for c in ("cell", "tokens", "pair", "word")), n_types)
 
     def build(found: list[Resolved]) -> pa.Table:
         out = []

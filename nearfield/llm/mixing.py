@@ -76,20 +76,20 @@ def systematic(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     Rows move once, by (source, size, slot), with the columns that the caller goes on to use.
     """
     names = ["size", "source_size", "target", "copies"]
-    rows = df.drop(*names).withColumn("size", sizes(F.col(text))).withColumn("source_key", source_key(F.col(source))).withColumn("slot", slot(F.col(doc_id)))
-    keys = ["source_key", "size", "slot"]
+    rows = df.drop(*names).withColumn("size", sizes(F.col(text))).withColumn("__key", source_key(F.col(source))).withColumn("__slot", slot(F.col(doc_id)))
+    keys = ["__key", "size", "__slot"]
     by_slot = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "slots")
-    by_size = by_slot.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
-    goals = targets(by_size.groupBy("source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), share, limit, weights)
+    by_size = by_slot.groupBy("__key", "size").agg(F.sum("n").alias("n"))
+    goals = targets(by_size.groupBy(F.col("__key").alias("source_key")).agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), share, limit, weights)
     earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_size = by_size.withColumn("smaller", earlier(["source_key"], "size")).drop("n")
-    by_slot = by_slot.withColumn("earlier", earlier(["source_key", "size"], "slot")).drop("n")
-    starts = written(by_slot.join(by_size, ["source_key", "size"]).join(goals, "source_key").select(*keys, (F.col("smaller") + F.col("earlier")).alias("base"), "source_size", "target"), "starts")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(doc_id)))
+    by_size = by_size.withColumn("smaller", earlier(["__key"], "size")).drop("n")
+    by_slot = by_slot.withColumn("earlier", earlier(["__key", "size"], "__slot")).drop("n")
+    starts = written(by_slot.join(by_size, ["__key", "size"]).join(goals.withColumnRenamed("source_key", "__key"), "__key").select(*keys, (F.col("smaller") + F.col("earlier")).alias("__base"), "source_size", "target"), "starts")
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(doc_id)))
     out = ranked.join(starts, keys)
     step = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    place = F.col("base") + F.col("rank")
-    reached = lambda r: F.floor(r * step + offset(F.col("source_key")))
+    place = F.col("__base") + F.col("__rank")
+    reached = lambda r: F.floor(r * step + offset(F.col("__key")))
     copies = F.least(reached(place) - reached(place - 1), F.lit(limit)).cast("int")
     return out.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *names)
 

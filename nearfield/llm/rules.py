@@ -10,9 +10,11 @@ are counted whole, in time n log n; repeated rows count each time; an empty tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\f\r "
 WINDOW = 5
@@ -77,9 +79,8 @@ def host_verdicts(failures: DataFrame, host: str = "host", most: float = HOST_LI
     prior = by_host.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg("n_docs").alias("mean_docs"))
     spread = F.col("m") * (1 - F.col("m"))
     strength = F.when((F.col("v") > 0) & (F.col("v") < spread), spread / F.nullif(F.col("v"), F.lit(0.0)) - 1).otherwise(F.col("mean_docs"))
-    prior = prior.select("m", strength.alias("s"))
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
-    out = by_host.crossJoin(F.broadcast(prior))  # the prior is one row
+    out = by_host.withColumn("prior", prior.select(F.struct(F.col("m"), strength.alias("s"))).scalar())
+    shrunk = (F.col("n_failed") + F.col("prior.m") * F.col("prior.s")) / (F.col("n_docs") + F.col("prior.s"))
     return out.select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= most).alias("host_kept"))
 
 
@@ -89,9 +90,7 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", most: float =
     The texts are read once and not shuffled: the counts alone go to the join.  The host table is broadcast only where
     its size is under Spark's limit; beyond it Spark splits a hot host's join.
     """
-    from .common import written
-
-    rows = written(counted(df, text).drop(text), "counts")
+    rows = written(counted(df.drop("shrunk_rate", "host_kept"), text).drop(text), "counts")
     hosts = written(host_verdicts(rows.select(F.col(host).alias("host"), "base_failed"), most=most), "hosts")
     out = rows.join(hosts.select(F.col("host").alias("__host"), "shrunk_rate", "host_kept"), F.col(host).eqNullSafe(F.col("__host")), "left")
     return out.drop("__host").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("host_kept")
