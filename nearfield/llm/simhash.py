@@ -9,6 +9,12 @@ broadcast, as they grow with the data: queries meet them in the shuffle.  A shar
 fingerprints is cut into groups, and each pair of groups is a tree of its own, so no task holds more.  A task gives its
 links as stars, not as pairs.
 
+A radius of a few bits finds copies that differ in a few words of many.  ``components`` with a ``similarity`` also links
+nearer kin that SimHash alone can't tell: documents are dealt to shards by bands of min-hashes of the same shingles, each
+shard is a BK-tree searched within ``WIDE`` bits, the nearest finds are verified by the Jaccard similarity of the texts'
+shingles, and those that reach it are links as well.  Of a text's finds in a shard the ``NEAREST`` go on to be verified
+and, whatever their number, those of a least spanning tree, so a group of copies stays connected however large it is.
+
 Null and empty texts have fingerprint zero and are linked like any other.  Texts of any length are hashed whole.  Rows
 without an id have a fingerprint and the component of the others.  Repeated rows give repeated results.
 """
@@ -24,16 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, connected_components, written
+from .common import chunks, connected_components, mixed, written
+from .substring import Shingles
 
 WORDS, SEED, RADIUS = 4, 42, 4
 BLOCKS, SHARED = 6, 2
 SHARD_LIMIT = 20_000
+#: Bits apart within which a band's shard is searched, and how many finds of a text go on to be verified.
+WIDE, NEAREST = 20, 4
+BANDS, BAND_BINS = 12, 3
 _SUM_ROWS = 1 << 16
 
 
-def fingerprint_array(texts: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """One uint64 a text."""
+def shingle_hashes(texts: pa.Array, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's shingles, one text after the other, and how many each has."""
     from xxhash import xxh64_intdigest as digest
 
     hashes: list[int] = []
@@ -52,9 +62,13 @@ def fingerprint_array(texts: pa.Array, words: int = WORDS, seed: int = SEED) ->
         starts = np.concatenate(([0], ends[:-words])).tolist()
         hashes += [digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
         counts.append(len(starts))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(n), np.uint64)
-    raw = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def majority(raw: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One uint64 a text: the bits that over half of its hashes have."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
     totals = np.zeros((len(n), 64), np.int64)
     owner = np.repeat(np.arange(len(n)), n)
     for at in range(0, len(raw), _SUM_ROWS):
@@ -62,21 +76,37 @@ def fingerprint_array(texts: pa.Array, words: int = WORDS, seed: int = SEED) ->
         own = owner[at : at + _SUM_ROWS]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         totals[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    set_bits = np.packbits(2 * totals > n[:, None], axis=1, bitorder="little")
-    out[:] = set_bits.reshape(-1).view("<u8") if len(n) else out
-    return out
+    return np.packbits(2 * totals > n[:, None], axis=1, bitorder="little").reshape(-1).view("<u8").astype(np.uint64)
+
+
+def band_keys(raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, BANDS) keys of one-permutation min-hashes, and where a key has any hash in it."""
+    values = mixed(raw)
+    least = np.full(len(n) * BANDS * BAND_BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, np.repeat(np.arange(len(n)), n) * (BANDS * BAND_BINS) + (values % np.uint64(BANDS * BAND_BINS)).astype(np.int64), values)
+    least = least.reshape(len(n), BANDS, BAND_BINS)
+    key = np.zeros((len(n), BANDS), np.uint64)
+    for k in range(BAND_BINS):
+        key = mixed(key * np.uint64(3) + least[:, :, k])
+    return key, (least != np.iinfo(np.uint64).max).any(2)
 
 
-def fingerprints(df: DataFrame, text: str = "text", column: str = "fingerprint", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``df`` without its text, with the fingerprint as a signed long."""
-    kept = [f for f in df.schema.fields if f.name not in (text, column)]
-    schema = T.StructType([*kept, T.StructField(column, T.LongType())])
+def fingerprints(df: DataFrame, text: str = "text", column: str = "fingerprint", words: int = WORDS, seed: int = SEED, bands: str | None = None) -> DataFrame:
+    """``df`` without its text, with the fingerprint as a signed long and, if ``bands`` names them, its band keys."""
+    kept = [f for f in df.schema.fields if f.name not in (text, column, bands)]
+    added = [T.StructField(column, T.LongType())] + ([T.StructField(bands, T.ArrayType(T.LongType()))] if bands else [])
+    schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text, 2 << 20):
-                found = fingerprint_array(part.column(text), words, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(found)], names=schema.names)
+                raw, n = shingle_hashes(part.column(text), words, seed)
+                columns = [*(part.column(f.name) for f in kept), pa.array(majority(raw, n).view(np.int64))]
+                if bands:
+                    keys, real = band_keys(raw, n)
+                    flat = pa.array(keys.view(np.int64).ravel(), mask=~real.ravel())
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), flat))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f in kept or f.name == text]).mapInArrow(run, schema)
 
@@ -144,32 +174,54 @@ def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = after
 
 
+def _searched(values: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of the shards' members, for about a million visits at a time."""
+    forest = BKForest(values, shard)
+    visits = np.cumsum(np.minimum(np.bincount(shard)[shard], 4096))
+    for part in np.split(np.arange(len(values)), np.searchsorted(visits, np.arange(1_000_000, visits[-1], 1_000_000))):
+        found = list(forest.within(part, radius))
+        yield np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
+
+
 def shard_links(values: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (value, smallest linked value's) of the shards' members: stars that connect all within the radius."""
-    size = np.bincount(shard) if len(shard) else np.zeros(0, int)
-    several = size[shard] > 1
-    values, shard = values[several], shard[several]
-    if not len(values):
-        return values, values
-    forest = BKForest(values, shard)
     labels = np.arange(len(values))
-    # a query visits at most its shard's nodes: so many queries at once that they visit about a million
-    visits = np.cumsum(np.minimum(size[shard], 4096))
-    for part in np.split(np.arange(len(values)), np.searchsorted(visits, np.arange(1_000_000, visits[-1], 1_000_000))):
-        for query, node in forest.within(part, radius):
-            labels = joined(labels, query, node)
+    for query, node in _searched(values, shard, radius):
+        labels = joined(labels, query, node)
     moved = np.flatnonzero(labels != np.arange(len(labels)))
     return values[moved], values[labels[moved]]
 
 
-def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS, shared: int = SHARED, limit: int = SHARD_LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all pairs within the radius."""
-    if radius > blocks - shared:
-        raise ValueError("too few blocks for the radius")
-    masks = block_masks(blocks, shared)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(column).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    rows = nodes.select(F.col(column).alias("value"), F.explode(keys).alias("key")).select("value", "key.choice", "key.bits")
+def shard_kin(values: np.ndarray, shard: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller, larger value) to verify: each member's nearest finds, and a spanning forest of near ones."""
+    labels = np.arange(len(values))
+    out = [np.zeros((2, 0), np.int64)]
+    for query, node in _searched(values, shard, radius):
+        query, node = query[query != node], node[query != node]
+        apart = np.bitwise_count(values[query] ^ values[node])
+        order = np.lexsort((node, apart, query))
+        query, node = query[order], node[order]
+        first = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else np.zeros(0, bool)
+        at = np.arange(len(query))
+        rank = at - np.maximum.accumulate(np.where(first, at, 0))
+        out.append(np.stack([query, node])[:, rank < nearest])
+        # links between parts that are not connected yet; a part takes the first to each other part
+        links = np.stack([query, node])
+        while True:
+            apart_ = labels[links[0]] != labels[links[1]]
+            links = links[:, apart_]
+            if not links.shape[1]:
+                break
+            _, pick = np.unique(np.maximum(labels[links[0]], labels[links[1]]), return_index=True)
+            out.append(links[:, pick])
+            labels = joined(labels, links[0, pick], links[1, pick])
+    pairs = np.concatenate(out, 1)
+    a, b = values[pairs[0]], values[pairs[1]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _in_shards(rows: DataFrame, limit: int, build) -> DataFrame:
+    """(a, b) of ``build(values, shard)`` on the shards of ``rows`` (value, choice, bits) with several members."""
     large = written(rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).withColumn("groups", F.ceil(F.col("n") * 2 / limit).cast("int")).drop("n"), "shards")
     if not large.isEmpty():
         own = F.pmod(F.xxhash64("value"), F.col("groups")).cast("int")
@@ -184,8 +236,12 @@ def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, b
         held_n = 0
 
         def done(table: np.ndarray) -> pa.RecordBatch:
-            change = np.concatenate(([False], (table[1:, 1:] != table[:-1, 1:]).any(1)))
-            a, b = shard_links(table[:, 0].view(np.uint64), np.cumsum(change), radius)
+            shard = np.cumsum(np.concatenate(([False], (table[1:, 1:] != table[:-1, 1:]).any(1))))
+            several = np.bincount(shard)[shard] > 1
+            a = b = np.zeros(0, np.uint64)
+            if several.any():
+                _, shard = np.unique(shard[several], return_inverse=True)
+                a, b = build(np.ascontiguousarray(table[several, 0]).view(np.uint64), shard)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -193,23 +249,80 @@ def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, b
             held_n += batch.num_rows
             if held_n < 200_000:
                 continue
-            table = np.ascontiguousarray(np.concatenate(held))
+            table = np.concatenate(held)
             starts = np.flatnonzero((table[1:, 1:] != table[:-1, 1:]).any(1)) + 1
             cut = starts[-1] if len(starts) else 0  # the last shard may go on in the next batch
             if cut:
-                yield done(np.asfortranarray(table[:cut]))
+                yield done(table[:cut])
             held, held_n = [table[cut:]], len(table) - cut
         if held:
-            yield done(np.asfortranarray(np.concatenate(held)))
+            yield done(np.concatenate(held))
 
     return rows.select("value", "choice", "bits", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): of each row of ``df`` the smallest id that its fingerprint reaches."""
-    rows = written(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words, seed=seed), "fingerprints")
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    linked = connected_components(links(nodes, radius=radius))
+def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS, shared: int = SHARED, limit: int = SHARD_LIMIT) -> DataFrame:
+    """(a, b): links between distinct fingerprints whose components are those of all pairs within the radius."""
+    if radius > blocks - shared:
+        raise ValueError("too few blocks for the radius")
+    masks = block_masks(blocks, shared)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(column).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
+    rows = nodes.select(F.col(column).alias("value"), F.explode(keys).alias("key")).select("value", "key.choice", "key.bits")
+    return _in_shards(rows, limit, lambda values, shard: shard_links(values, shard, radius))
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int, wide: int = WIDE, limit: int = SHARD_LIMIT) -> DataFrame:
+    """(a, b): fingerprints whose first documents' texts have shingles of at least the similarity.
+
+    ``nodes``: fingerprint, first_id and bands; ``texts``: id and text.
+    """
+    rows = nodes.select(F.col("fingerprint").alias("value"), F.posexplode("bands").alias("choice", "bits")).where("bits is not null")
+    pairs = written(_in_shards(rows, limit, lambda values, shard: shard_kin(values, shard, wide, NEAREST)), "kin")
+    ids = nodes.select("fingerprint", "first_id")
+    named = pairs.join(ids.withColumnsRenamed({"fingerprint": "a", "first_id": "a_id"}), "a").join(ids.withColumnsRenamed({"fingerprint": "b", "first_id": "b_id"}), "b")
+    named = named.join(texts, F.col("a_id") == F.col("id")).select("a", "b", "b_id", F.col("text").alias("a_text"))
+    named = named.join(texts, F.col("b_id") == F.col("id")).select("a", "b", "a_text", F.col("text").alias("b_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for half in chunks(batch, "a_text", 1 << 20):
+                for part in chunks(half, "b_text", 1 << 20):
+                    near = pa.array(jaccard(part.column("a_text"), part.column("b_text"), words) >= similarity)
+                    yield part.select(["a", "b"]).filter(near)
+
+    return named.mapInArrow(run, "a long, b long").distinct()
+
+
+def jaccard(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
+    """The similarity of each pair's sets of shingles; 0 if both are empty."""
+    n = len(a)
+    sets = []
+    for column in (a, b):
+        found = Shingles(column, words)
+        own = found.owner()
+        key, at = np.unique(mixed(found.value + mixed(own.astype(np.uint64) + np.uint64(1))), return_index=True)
+        sets.append((key, own[at]))
+    (x, own), (y, other) = sets
+    both = np.bincount(own[np.isin(x, y, assume_unique=True)], minlength=n)
+    either = np.bincount(own, minlength=n) + np.bincount(other, minlength=n) - both
+    return both / np.maximum(either, 1)
+
+
+def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, seed: int = SEED, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id): of each row of ``df`` the smallest id that its fingerprint reaches.
+
+    With a ``similarity``, texts whose shingles reach it are linked as well.
+    """
+    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    bands = None if similarity is None else "bands"
+    rows = written(fingerprints(texts.withColumnRenamed("id", "doc_id"), words=words, seed=seed, bands=bands), "fingerprints")
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", "doc_id").alias("bands")] if bands else []))
+    edges = links(nodes.select("fingerprint"), radius=radius)
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(nodes, texts, similarity, words))
+    nodes = nodes.select("fingerprint", "first_id")
+    linked = connected_components(edges)
     named = linked.join(nodes.withColumnRenamed("fingerprint", "node"), "node")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
@@ -222,8 +335,8 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def first_of_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def first_of_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``df`` with one row of each component: the one with the smallest id.  Rows without an id are not judged and stay."""
-    kept = components(df, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = components(df, text, doc_id, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
     return named.unionByName(df.where(F.col(doc_id).isNull()))

@@ -98,6 +98,33 @@ def test_large_shards_are_cut_and_lose_no_link(spark, limit):
     assert all(got.get(v, v) == values[c] for v, c in zip(values, label, strict=True))
 
 
+def slow_jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_similar_texts_are_linked(spark):
+    rows, want = [], {}
+    for group in range(30):
+        base = words(100 + group * 10)
+        for copy in range(5):
+            text = list(base)
+            for k in range(copy):  # each change breaks five shingles
+                text[(k * 17 + copy * 5) % len(base)] = RNG.choice(VOCABULARY)
+            rows.append((len(rows), text))
+    label = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j in range(i - i % 5, i):
+            if slow_jaccard(a, rows[j][1]) >= 0.8:
+                x, y = label[i], label[j]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+    got = {r.doc_id: r.component_id for r in simhash.components(docs(spark, [(i, " ".join(t)) for i, t in rows]), words=5, similarity=0.8).collect()}
+    missed = sum(got[i] != label[i] for i in got)
+    assert missed <= 2 and all(got[i] // 5 == i // 5 for i in got)
+    found = simhash.jaccard(pa.array([" ".join(rows[0][1])] * 5), pa.array([" ".join(t) for _, t in rows[:5]]), 5)
+    assert found.tolist() == pytest.approx([slow_jaccard(rows[0][1], t) for _, t in rows[:5]])
+
+
 def test_radius_needs_blocks(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), radius=5)
