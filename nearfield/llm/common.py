@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,14 +132,25 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial modulo 2^64 over random byte values, finalised."""
-        up, down = _powers(len(self.data) + 1)
+        """A 64-bit hash of each word's bytes: a polynomial modulo 2^64 over random byte values, finalised.
+
+        Works on stretches of whole words, so its tables have a fixed size however long a text is.
+        """
         values = mixed(np.arange(1, 257, dtype=np.uint64))
+        out = np.empty(len(self), np.uint64)
+        at = 0
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(values[self.data] * up[: len(self.data)], out=sums[1:])
-            hashed = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            return mixed(hashed + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            while at < len(self):
+                base = int(self.starts[at])
+                to = max(at + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, "right")))
+                starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
+                up, down = _powers(int(ends[-1]) + 1)
+                sums = np.zeros(int(ends[-1]) + 1, np.uint64)
+                np.cumsum(values[self.data[base : base + int(ends[-1])]] * up[: int(ends[-1])], out=sums[1:])
+                hashed = (sums[ends] - sums[starts]) * down[starts]
+                out[at:to] = mixed(hashed + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                at = to
+        return out
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
@@ -170,5 +180,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = (row.n, row.h)
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
-
-STORAGE = StorageLevel.MEMORY_AND_DISK

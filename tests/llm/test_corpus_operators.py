@@ -41,6 +41,9 @@ def test_word_hashes():
     assert w.counts.tolist() == [3, 0, 0, 1, 2, 4 - 1 + 1]
     h = w.hashes()
     assert h[0] == h[2] == h[3] == h[5] and h[1] == h[4] and len(set(h.tolist())) == 5
+    long = pa.array(["ab " * 3_000_000 + "xyz"])
+    found = common.Words(long).hashes()
+    assert set(found[:-1].tolist()) == {int(common.Words(pa.array(["ab"])).hashes()[0])} and found[-1] == common.Words(pa.array(["xyz"])).hashes()[0]
     lower = common.Words(pa.array(texts, pa.string()), lower=True).hashes()
     assert lower[-1] == lower[0]
 
