@@ -41,27 +41,31 @@ def nearest(df: DataFrame, query: Column | Sequence[float], k: int, metric: Metr
     """
     rows = df if where is None else df.where(where)
     found = rows.select(F.col(id_).alias("id"), distance(F.col(vector), query, metric, F.col(norm) if norm else None).alias("distance"))
-    best = found.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", "id").limit(checked_k(k))
-    return ranked(best)
+    # nulls and NaN come last, so they are left out after the cut, and each distance is computed once
+    best = found.orderBy(F.col("distance").asc_nulls_last(), "id").limit(checked_k(k))
+    return ranked(best.where(F.col("distance").isNotNull() & ~F.isnan("distance")))
 
 
 def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """(query_id, rank, id, distance) of the k rows nearest to each query, as a declarative top-k join.
 
-    The number of comparisons is that of the queries times that of the base; Spark limits each window group before and
-    after its shuffle.
+    The queries are sent to all tasks only if Spark knows them to be within ``QUERY_BLOCK_BYTES``; beyond that they go in
+    blocks.  Spark limits each window group before and after its shuffle.
     """
+    if int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > QUERY_BLOCK_BYTES:
+        return nearest_blocks(base, queries, k, metric, id_, vector, query_id, query_vector)
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"))
     right = base.select(F.col(id_).alias("id"), F.col(vector).alias("__v"))
-    pairs = right.join(left, F.size("__v") == F.size("__q"))
+    # not an equality: all rows have one length, and a join keyed by it would be a single task
+    pairs = right.join(F.broadcast(left), ~(F.size("__v") < F.size("__q")) & ~(F.size("__v") > F.size("__q")))
     found = pairs.select("query_id", "id", distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
     return _top(found, k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    best = found.where(F.col("distance").isNotNull() & ~F.isnan("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= checked_k(k))
-    return best.select("query_id", "rank", "id", "distance")
+    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= checked_k(k))
+    return best.where(F.col("distance").isNotNull() & ~F.isnan("distance")).select("query_id", "rank", "id", "distance")
 
 
 def nearest_blocks(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:

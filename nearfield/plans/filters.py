@@ -129,22 +129,27 @@ def parse(text: str | None) -> Node | None:
     return tree
 
 
-def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column] | None = None) -> Column | None:
-    """A boolean column that is never null.  Fields in ``promoted`` are read from typed columns, which Parquet can skip by."""
+def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column] | None = None, under_not: bool = False) -> Column | None:
+    """A boolean column for ``where``.  Fields in ``promoted`` are read from typed columns, which Parquet can skip by.
+
+    Outside NOT a null is as good as false, and the bare comparison can be pushed down to the scan; under NOT it is made
+    false.
+    """
     if node is None:
         return None
     if isinstance(node, Not):
-        return ~compiled(node.part, metadata, promoted)
+        return ~compiled(node.part, metadata, promoted, True)
     if isinstance(node, Both):
         out = None
         for part in node.parts:
-            column = compiled(part, metadata, promoted)
+            column = compiled(part, metadata, promoted, under_not)
             out = column if out is None else (out & column if node.op == "and" else out | column)
         return out
     own = (promoted or {}).get(node.field)
     value = own if own is not None else F.get_json_object(metadata, "$." + node.field)
+    known = (lambda c: F.coalesce(c, F.lit(False))) if under_not else (lambda c: c)
     if node.op is None:
-        return F.coalesce(value.try_cast("string").try_cast("boolean"), F.lit(False))
+        return known(value.try_cast("string").try_cast("boolean"))
     if isinstance(node.literal, bool):
         value = value.try_cast("string").try_cast("boolean")
     elif isinstance(node.literal, float):
@@ -153,7 +158,7 @@ def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column]
         value = value.cast("string")
     other = F.lit(node.literal)
     made = {"=": lambda: value == other, "!=": lambda: value != other, "<": lambda: value < other, "<=": lambda: value <= other, ">": lambda: value > other, ">=": lambda: value >= other}[node.op]()
-    return F.coalesce(made, F.lit(False))
+    return known(made)
 
 
 def filter_column(text: str | None, metadata: Column, promoted: Mapping[str, Column] | None = None) -> Column | None:
