@@ -8,9 +8,10 @@ with weights a, u, z for each bucket b of context frequencies, b = log2 of c(v).
 expectation-maximisation on held-out counts: fold ``HELD_FOLD`` of the training documents is deleted from the counts, and
 its tokens are what the deleted estimates must predict.  The scores then use the counts of all training documents.
 
-Counts are exact and global.  A task packs about ``BLOCK_BYTES`` of text into a block: the sorted distinct 56-bit hashes
-of its words and bigrams with their counts in the block.  Blocks send these in slices of the hash range, each slice is
-added up by one group, and the totals return in the order in which they were asked for.  So a frequent word is one entry
+Counts are exact and global.  A task packs about ``BLOCK_BYTES`` of text into a block: its distinct word hashes and each
+token's place among them, from which the sorted distinct 56-bit hashes of its words and bigrams follow whenever they are
+needed.  Blocks send these with their own counts in slices of the hash range, each slice is added up by one group, and
+the totals return in the order in which they were asked for.  So a frequent word is one entry
 of a block, no group holds more than its slice, and nothing of the corpus is collected: EM gets a histogram of bucketed
 estimates of a fixed size.  Blocks are a bucketed table in the shared folder, so they are not shuffled to meet the totals.
 
@@ -79,18 +80,12 @@ def grams(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (tokens & _MASK) & ~np.uint64(1), (pair & _MASK) | np.uint64(1), first
 
 
-def _gathered(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys, each key's place among them, and the sums of the weights."""
-    found, place = np.unique(keys, return_inverse=True)
-    return found, place, [np.bincount(place, w, len(found)).astype(np.int64) for w in weights]
-
-
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a block: ids, folds, tokens of each text, token hashes, and the distinct words and bigrams with counts."""
+    """A row a block: ids, folds, tokens of each text, the distinct tokens' hashes, and each token's place among them."""
     schema = T.StructType(
         [T.StructField("block", T.LongType())]
         + [T.StructField(n, T.ArrayType(t)) for n, t in (("ids", T.LongType()), ("folds", T.IntegerType()), ("sizes", T.LongType()))]
-        + [T.StructField(n, T.BinaryType()) for n in ("words", "places", "keys", "trained", "held")]
+        + [T.StructField(n, T.BinaryType()) for n in ("words", "places")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +98,33 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 tokens, sizes = tokens_of(part.column("text"))
                 folds = part.column("fold").to_numpy(zero_copy_only=False)
                 words, places = np.unique(tokens, return_inverse=True)
-                one, two, _ = grams(tokens, sizes)
-                train = np.repeat(folds != TEST_FOLD, sizes)
-                held = np.repeat(folds == HELD_FOLD, sizes)
-                # a bit for each of two sums, so that one sort serves both
-                keys, _, (trained, kept) = _gathered(np.concatenate((one, two)), [np.tile(train, 2), np.tile(held, 2)])
                 rows = [pa.array([number], pa.int64())] + [pa.array([x.tolist()], t) for x, t in ((part.column("id"), pa.list_(pa.int64())), (folds, pa.list_(pa.int32())), (sizes, pa.list_(pa.int64()))) ]
-                blobs = [packed(words), packed(places.astype(np.uint32)), packed(np.diff(keys, prepend=np.uint64(0))), packed(trained.astype(np.uint32)), packed(kept.astype(np.uint32))]
+                blobs = [packed(words), packed(places.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays(rows + [pa.array([b], pa.binary()) for b in blobs], names=schema.names)
 
     fold = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int")
     return docs.select(F.col(doc_id).alias("id"), fold.alias("fold"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+BLOCK = ("block", "ids", "folds", "sizes", "words", "places")
+
+
+class Block:
+    """A row of ``blocks``: its texts, the sorted distinct words and bigrams, and each token's place among these."""
+
+    def __init__(self, row: dict):
+        self.ids, self.folds, self.sizes = row["ids"], np.array(row["folds"]), np.array(row["sizes"])
+        tokens = unpacked(row["words"], np.uint64)[unpacked(row["places"], np.uint32)]
+        one, two, self.first = grams(tokens, self.sizes)
+        self.keys, place = np.unique(np.concatenate((one, two)), return_inverse=True)
+        self.one, self.two = place[: len(one)], place[len(one) :]
+
+    def counted(self, texts: np.ndarray) -> np.ndarray:
+        """How often each key is in the chosen texts."""
+        own = np.repeat(texts, self.sizes)
+        return (np.bincount(self.one[own], minlength=len(self.keys)) + np.bincount(self.two[own], minlength=len(self.keys))).astype(np.uint32)
+
+
 def _bucketed(df: DataFrame, label: str, column: str, n: int) -> DataFrame:
     """``df`` as a table bucketed by ``column`` in the shared folder; it goes when the application ends."""
     spark = df.sparkSession
@@ -134,13 +143,14 @@ def slices(table: DataFrame, bits: int) -> DataFrame:
         names = ["part", "block", "keys", "trained", "held"]
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.cumsum(unpacked(row["keys"], np.uint64), dtype=np.uint64)
-                trained, held = unpacked(row["trained"], np.uint32), unpacked(row["held"], np.uint32)
+                block = Block(row)
+                keys = block.keys
+                trained, held = block.counted(block.folds != TEST_FOLD), block.counted(block.folds == HELD_FOLD)
                 edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(_BITS - bits)).tolist() + [len(keys)]
                 out = [(p, row["block"], packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(trained[a:b]), packed(held[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
-    return table.select("block", "keys", "trained", "held").mapInArrow(run, "part long, block long, keys binary, trained binary, held binary")
+    return table.select(*BLOCK).mapInArrow(run, "part long, block long, keys binary, trained binary, held binary")
 
 
 def totals(parts: DataFrame) -> DataFrame:
@@ -166,19 +176,14 @@ def totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").applyInArrow(run, schema)
 
 
-class Resolved:
-    """A block with the corpus counts of its tokens' words, contexts and bigrams."""
+class Resolved(Block):
+    """A block with the corpus counts of its words and bigrams, as training has them and as the held-out fold has."""
 
     def __init__(self, row: dict, answers: list[dict]):
-        words = unpacked(row["words"], np.uint64)
-        self.tokens = words[unpacked(row["places"], np.uint32)]
-        self.ids, self.folds, self.sizes = row["ids"], np.array(row["folds"]), np.array(row["sizes"])
-        one, two, self.first = grams(self.tokens, self.sizes)
-        keys = np.cumsum(unpacked(row["keys"], np.uint64), dtype=np.uint64)
+        super().__init__(row)
         answers = sorted(answers, key=lambda a: a["part"])
         self.trained, self.held = (np.concatenate([unpacked(a[c], np.uint32) for a in answers]).astype(np.int64) for c in ("trained", "held"))
-        self.one, self.two = np.searchsorted(keys, one), np.searchsorted(keys, two)
-        self.end = int(np.searchsorted(keys, (END & _MASK) & ~np.uint64(1)))
+        self.end = int(np.searchsorted(self.keys, (END & _MASK) & ~np.uint64(1)))
 
     def estimates(self, counts: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bucket, bigram estimate, word estimate) of each token."""
@@ -195,8 +200,7 @@ def _met(table: DataFrame, answers: DataFrame, build, schema: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return build([Resolved(row, right.to_pylist()) for row in left.to_pylist()])
 
-    columns = table.select("block", "ids", "folds", "sizes", "words", "places", "keys")
-    return columns.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return table.select(*BLOCK).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def _cell(x: np.ndarray) -> np.ndarray:
