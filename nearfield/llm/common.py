@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once in a Python worker, unless one text alone is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,6 +89,14 @@ def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system: workers live on and stand beside each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     """Slices of a batch whose texts have about ``most`` bytes together; a longer text is a slice of its own."""
     _, offsets = utf8_column(batch.column(column))
@@ -96,6 +105,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         yield batch.slice(row, end - row)
         row = end
+    tidy()
 
 
 _BREAK = np.zeros(256, bool)
