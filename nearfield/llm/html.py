@@ -36,7 +36,7 @@ DROPPED = frozenset("script style noscript template iframe title head nav header
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Containers that may be chosen.
 CONTAINERS = frozenset("article body div main section td".split())
-#: An open element that a new one of the given kind ends.
+#: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html".split())
 #: What a class, id or role of boilerplate is made of.
 NOISE = re.compile(
@@ -45,7 +45,6 @@ NOISE = re.compile(
     r"comment|comments|discussion|disqus|reply|replies|respond|complementary|contentinfo|skip|legal|copyright|pagination|pager|toolbar)($|[\s_-])",
     re.I,
 )
-#: Within an article's own heading part a header element is text; elsewhere it is the site's.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 SPACE = re.compile(r"\s+")
@@ -140,6 +139,7 @@ def walk(html: str) -> tuple[list[tuple[int, bool, str]], list[tuple[int, str]]]
         attributes = attributes_of(found[3])
         top = stack[-1]
         noise = tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(" ".join((attributes.get("class", ""), attributes.get("id", ""), attributes.get("role", "")))))) or "hidden" in found[3].lower().split()
+        # an article's own header is text, the site's is not
         if tag == "header" and any(e.tag in ("article", "main") for e in stack):
             noise = False
         path = f"{top.path}>{label(tag, attributes)}" if top.path else label(tag, attributes)
