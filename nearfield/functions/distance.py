@@ -17,8 +17,8 @@ from ..config import Metric
 
 
 def as_vector(query: Column | Sequence[float]) -> Column:
-    """A literal array of doubles, or the column as it is."""
-    return query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
+    """One literal array of doubles, or the column as it is."""
+    return query if isinstance(query, Column) else F.lit(np.asarray(query, np.float64))
 
 
 def dot(a: Column, b: Column) -> Column:

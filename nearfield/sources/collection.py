@@ -142,7 +142,8 @@ class Collection:
 
     def _check(self, new: DataFrame) -> None:
         """Rules of a staged segment: one pass, a group by id, and a join with the live ids."""
-        bad_vector = F.col("vector").isNull() | (F.size("vector") != self.config.dimension) | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        # the norm of a null vector or element is null; that of NaN or infinity is not finite, and no sum of floats overflows
+        bad_vector = F.col("norm").isNull() | F.isnan("norm") | (F.col("norm") == float("inf")) | (F.size("vector") != self.config.dimension)
         bad_meta = F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()
         flag = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0))
         found = new.agg(flag(F.col("id").isNull() | (F.col("id") < 1)).alias("id"), flag(bad_vector).alias("vector"), flag(bad_meta).alias("metadata")).first()
