@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words kept by a worker; a full dictionary is emptied, which costs time and changes nothing else.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 
 #: Below this code point letters, numbers and lower case are the same in every Unicode version, and all text is NFC.
