@@ -10,10 +10,10 @@ fingerprints is cut into groups, and each pair of groups is a tree of its own, s
 links as stars, not as pairs.
 
 A radius of a few bits finds copies that differ in a few words of many.  ``components`` with a ``similarity`` also links
-nearer kin that SimHash alone can't tell: documents are dealt to shards by bands of min-hashes of the same shingles, each
-shard is a BK-tree searched within ``WIDE`` bits, the nearest finds are verified by the Jaccard similarity of the texts'
-shingles, and those that reach it are links as well.  Of a text's finds in a shard the ``NEAREST`` go on to be verified
-and, whatever their number, those of a least spanning tree, so a group of copies stays connected however large it is.
+nearer kin that SimHash alone can't tell: documents are dealt to shards by bands of min-hashes of the same shingles, and
+every pair of a shard is verified by the Jaccard similarity of the texts' sets of shingles; those that reach it are links
+as well.  In a shard of more than ``SMALL`` members only pairs that verified links already connect are left out, and pairs
+without a common shingle among the rarest of each, which can't reach it.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Texts of any length are hashed whole.  Rows
 without an id have a fingerprint and the component of the others.  Repeated rows give repeated results.
@@ -30,16 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, connected_components, mixed, written
+from .common import chunks, connected_components, mixed, tidy, written
 from .substring import Shingles
 
 WORDS, SEED, RADIUS = 4, 42, 4
 BLOCKS, SHARED = 6, 2
 SHARD_LIMIT = 20_000
-#: Bits apart within which a band's shard is searched, and how many finds of a text go on to be verified.
-WIDE, NEAREST = 20, 4
+#: Up to so many members of a band's shard their pairs are verified one by one; of larger shards so many shingles in a cell.
+SMALL, SHARD_SHINGLES = 16, 4_000_000
 BANDS, BAND_BINS = 12, 3
 _SUM_ROWS = 1 << 16
+_BLOCK = 1 << 20
 
 
 def shingle_hashes(texts: pa.Array, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -192,32 +193,57 @@ def shard_links(values: np.ndarray, shard: np.ndarray, radius: int = RADIUS) ->
     return values[moved], values[labels[moved]]
 
 
-def shard_kin(values: np.ndarray, shard: np.ndarray, radius: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller, larger value) to verify: each member's nearest finds, and a spanning forest of near ones."""
-    labels = np.arange(len(values))
-    out = [np.zeros((2, 0), np.int64)]
-    for query, node in _searched(values, shard, radius):
-        query, node = query[query != node], node[query != node]
-        apart = np.bitwise_count(values[query] ^ values[node])
-        order = np.lexsort((node, apart, query))
-        query, node = query[order], node[order]
-        first = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else np.zeros(0, bool)
-        at = np.arange(len(query))
-        rank = at - np.maximum.accumulate(np.where(first, at, 0))
-        out.append(np.stack([query, node])[:, rank < nearest])
-        # links between parts that are not connected yet; a part takes the first to each other part
-        links = np.stack([query, node])
-        while True:
-            apart_ = labels[links[0]] != labels[links[1]]
-            links = links[:, apart_]
-            if not links.shape[1]:
-                break
-            _, pick = np.unique(np.maximum(labels[links[0]], labels[links[1]]), return_index=True)
-            out.append(links[:, pick])
-            labels = joined(labels, links[0, pick], links[1, pick])
-    pairs = np.concatenate(out, 1)
-    a, b = values[pairs[0]], values[pairs[1]]
-    return np.minimum(a, b), np.maximum(a, b)
+def verified_links(shingles: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of members (sets of ``sizes`` shingles each, one after the other), equal where links of the similarity connect.
+
+    Two sets of the similarity share one of the rarest shingles of each, as all but ``similarity`` of a set is among them.
+    Each member is compared with all later ones that share such a shingle, or with all if those are fewer shingles; left
+    out are only those that verified links have already connected with it.
+    """
+    n = len(sizes)
+    labels = np.arange(n)
+    owner = np.repeat(labels, sizes)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    _, token, often = np.unique(shingles, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, often[token], owner))
+    rare = np.arange(len(order)) - first[owner] <= sizes[owner] - np.ceil(similarity * sizes - 1e-9)[owner]
+    rare &= often[token[order]] > 1
+    prefix, holder = token[order][rare], owner[rare]
+    starts = np.searchsorted(holder, np.arange(n + 1))
+    by_token = np.argsort(prefix, kind="stable")
+    listed, posting = prefix[by_token], holder[by_token]
+    low, high = np.searchsorted(listed, prefix), np.searchsorted(listed, prefix, "right")
+    mark = np.zeros(len(often), bool)
+    for i in range(n - 1):
+        others = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        mine = slice(starts[i], starts[i + 1])
+        if (high[mine] - low[mine]).sum() < sizes[others].sum():
+            sharing = np.zeros(n, bool)
+            for l, h in zip(low[mine].tolist(), high[mine].tolist(), strict=True):
+                sharing[posting[l:h]] = True
+            others = others[sharing[others]]
+        others = others[np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9]
+        others = others[sizes[others] > 0]
+        if not len(others):
+            continue
+        own = token[first[i] : first[i + 1]]
+        mark[own] = True
+        good = []
+        for part in np.split(others, np.searchsorted(np.cumsum(sizes[others]), np.arange(_BLOCK, sizes[others].sum(), _BLOCK))):
+            if not len(part):
+                continue
+            count = sizes[part]
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) + np.repeat(first[part] - ends + count, count)
+            both = np.add.reduceat(mark[token[at]], ends - count, dtype=np.int64)
+            good.append(part[both / (count + sizes[i] - both) >= similarity])
+        mark[own] = False
+        near = np.concatenate(good)
+        if len(near):
+            met = np.zeros(n, bool)
+            met[labels[near]] = met[labels[i]] = True
+            labels[met[labels]] = np.flatnonzero(met)[0]
+    return labels
 
 
 def _in_shards(rows: DataFrame, limit: int, build) -> DataFrame:
@@ -272,14 +298,19 @@ def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, b
     return _in_shards(rows, limit, lambda values, shard: shard_links(values, shard, radius))
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int, wide: int = WIDE, limit: int = SHARD_LIMIT) -> DataFrame:
-    """(a, b): fingerprints whose first documents' texts have shingles of at least the similarity.
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int, small: int = SMALL, limit: int = SHARD_SHINGLES) -> DataFrame:
+    """(a, b): links between fingerprints whose components are those of all pairs of a shard that reach the similarity.
 
-    ``nodes``: fingerprint, first_id and bands; ``texts``: id and text.
+    Compared are the shingles of the fingerprints' first documents.  ``nodes``: fingerprint, first_id and bands; ``texts``:
+    id and text.
     """
     rows = nodes.select(F.col("fingerprint").alias("value"), F.posexplode("bands").alias("choice", "bits")).where("bits is not null")
-    pairs = written(_in_shards(rows, limit, lambda values, shard: shard_kin(values, shard, wide, NEAREST)), "kin")
+    several = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(rows.join(several, ["choice", "bits"]), "members")
     ids = nodes.select("fingerprint", "first_id")
+    pair = "explode(flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x as a, y as b)))))"
+    pairs = members.where(F.col("n") <= small).groupBy("choice", "bits").agg(F.array_sort(F.collect_list("value")).alias("v")).select(F.expr(pair).alias("pair")).select("pair.*").distinct()
+    pairs = written(pairs, "kin")
     named = pairs.join(ids.withColumnsRenamed({"fingerprint": "a", "first_id": "a_id"}), "a").join(ids.withColumnsRenamed({"fingerprint": "b", "first_id": "b_id"}), "b")
     named = named.join(texts, F.col("a_id") == F.col("id")).select("a", "b", "b_id", F.col("text").alias("a_text"))
     named = named.join(texts, F.col("b_id") == F.col("id")).select("a", "b", "a_text", F.col("text").alias("b_text"))
@@ -291,7 +322,63 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words:
                     near = pa.array(jaccard(part.column("a_text"), part.column("b_text"), words) >= similarity)
                     yield part.select(["a", "b"]).filter(near)
 
-    return named.mapInArrow(run, "a long, b long").distinct()
+    out = named.mapInArrow(run, "a long, b long")
+    large = members.where(F.col("n") > small)
+    if not large.isEmpty():
+        out = out.unionByName(_large_links(large, ids, texts, similarity, words, limit))
+    return out.distinct()
+
+
+def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarity: float, words: int, limit: int) -> DataFrame:
+    """(a, b) of shards (value, choice, bits) whose members' sets of shingles go to the shard and are compared there."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 2 << 20):
+                found = Shingles(part.column("text"), words)
+                each = [np.unique(found.value[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                flat = pa.array(np.concatenate(each).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("value"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64))], names=["value", "shingles", "size"])
+
+    named = members.select("value").distinct().join(ids.withColumnRenamed("fingerprint", "value"), "value").join(texts, F.col("first_id") == F.col("id"))
+    held = written(named.dropDuplicates(["value"]).select("value", "text").mapInArrow(sets, "value long, shingles array<long>, size long"), "shingles")
+    sized = members.select("value", "choice", "bits").join(held.select("value", "size"), "value")
+    groups = sized.groupBy("choice", "bits").agg(F.sum("size").alias("all")).select("choice", "bits", F.when(F.col("all") <= limit, 1).otherwise(F.ceil(F.col("all") * 2 / limit)).cast("int").alias("groups"))
+    own = F.pmod(F.xxhash64("value"), F.col("groups")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.least(g, own).cast("long") * (1 << 31) + F.greatest(g, own))
+    rows = members.select("value", "choice", "bits").join(groups, ["choice", "bits"]).select("value", "choice", "bits", F.explode(cells).alias("cell")).join(held, "value")
+    rows = rows.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        values: list[np.ndarray] = []
+        lists: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            value = np.concatenate(values)
+            labels = verified_links(np.concatenate(lists), np.concatenate(sizes), similarity)
+            moved = np.flatnonzero(labels != np.arange(len(labels)))
+            values.clear(), lists.clear(), sizes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(value[moved]), pa.array(value[labels[moved]])], names=["a", "b"])
+
+        for batch in batches:
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("choice", "bits", "cell")], 1)
+            edges = np.concatenate(([0], np.flatnonzero((table[1:] != table[:-1]).any(1)) + 1, [len(table)])) if len(table) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if values and key != tuple(table[a]):
+                    yield done()
+                key = tuple(table[a])
+                part = batch.slice(a, b - a)
+                values.append(part.column("value").to_numpy(zero_copy_only=False))
+                lists.append(part.column("shingles").flatten().to_numpy(zero_copy_only=False).copy())
+                sizes.append(part.column("size").to_numpy(zero_copy_only=False))
+        if values:
+            yield done()
+        tidy()
+
+    return rows.select("value", "choice", "bits", "cell", "shingles", "size").mapInArrow(run, "a long, b long")
 
 
 def jaccard(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:

@@ -128,6 +128,45 @@ def test_similar_texts_are_linked(spark):
     assert found.tolist() == pytest.approx([slow_jaccard(rows[0][1], t) for _, t in rows[:5]])
 
 
+def lookalikes(n):
+    """Pairs of copies at about 0.85 in one family at about 0.73, and the labels of all that reach 0.8."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 10**9, 200)
+    texts = []
+    for _ in range(n):
+        first = base.copy()
+        first[rng.choice(200, 3, replace=False)] = rng.integers(0, 10**9, 3)
+        second = first.copy()
+        second[rng.choice(200, 3, replace=False)] = rng.integers(0, 10**9, 3)
+        texts += [first, second]
+    grams = np.lib.stride_tricks.sliding_window_view(np.array(texts), 5, axis=1) @ np.array([1, 3, 7, 11, 13])
+    label = np.arange(len(texts))
+    for i, own in enumerate(grams):
+        both = (grams == own).sum(1)
+        near = np.flatnonzero(both / (2 * grams.shape[1] - both) >= 0.8)
+        label[np.isin(label, label[near])] = label[near].min()
+    return [" ".join(f"w{x}" for x in t) for t in texts], label
+
+
+def test_copies_in_a_family_of_lookalikes_are_linked(spark):
+    texts, label = lookalikes(1000)
+    rows = docs(spark, list(enumerate(texts)))
+    nodes = simhash.fingerprints(rows, words=5, bands="bands").withColumn("first_id", F.col("doc_id"))
+    # fingerprints of their own, so that only similarity links
+    edges = simhash.similar_links(nodes.withColumn("fingerprint", F.col("doc_id")), rows.select(F.col("doc_id").alias("id"), "text"), 0.8, 5)
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    found = np.array([got.get(i, i) for i in range(len(texts))])
+    assert (label[found] == label).all() and (found != label).sum() <= 2
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_links_within_a_shard_equal_brute_force(n):
+    texts, label = lookalikes(n)
+    found = substring.Shingles(pa.array(texts), 5)
+    sets = [np.unique(found.value[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
+    assert simhash.verified_links(np.concatenate(sets), np.array([len(s) for s in sets]), 0.8).tolist() == label.tolist()
+
+
 def test_radius_needs_blocks(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), radius=5)
