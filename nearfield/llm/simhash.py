@@ -335,7 +335,7 @@ def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarit
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
-                found = Shingles(part.column("text"), words)
+                found = Shingles(part.column("text"), words, lower=True)
                 each = [np.unique(found.value[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
                 ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 flat = pa.array(np.concatenate(each).view(np.int64))
@@ -382,11 +382,11 @@ def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarit
 
 
 def jaccard(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
-    """The similarity of each pair's sets of shingles; 0 if both are empty."""
+    """The similarity of each pair's sets of shingles, in which A-Z are lowered as in fingerprints; 0 if both are empty."""
     n = len(a)
     sets = []
     for column in (a, b):
-        found = Shingles(column, words)
+        found = Shingles(column, words, lower=True)
         own = found.owner()
         key, at = np.unique(mixed(found.value + mixed(own.astype(np.uint64) + np.uint64(1))), return_index=True)
         sets.append((key, own[at]))

@@ -159,6 +159,21 @@ def test_copies_in_a_family_of_lookalikes_are_linked(spark):
     assert (label[found] == label).all() and (found != label).sum() <= 2
 
 
+def test_copies_with_repeated_lines_or_in_other_case_are_linked(spark):
+    texts = []
+    for i in range(40):
+        base = words(200)
+        line = base[20:34]
+        more = [*base, *(line * (10 + i))]
+        other = [w.upper() for w in base]
+        other[7] = "changed"
+        assert slow_jaccard(base, more) >= 0.8
+        texts += [" ".join(t) for t in (base, more, other)]
+    assert simhash.jaccard(pa.array(["a b C d e f"]), pa.array(["A b c d E f"]), 5).tolist() == [1.0]
+    got = {r.doc_id: r.component_id for r in simhash.components(docs(spark, list(enumerate(texts))), words=5, similarity=0.8).collect()}
+    assert got == {i: i - i % 3 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_links_within_a_shard_equal_brute_force(n):
     texts, label = lookalikes(n)
