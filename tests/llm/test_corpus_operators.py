@@ -240,6 +240,27 @@ def test_repeated_passages(spark):
     assert left[5].split() == rows[1][1][:30] + rows[1][1][90:]
 
 
+def test_an_unrelated_smallest_document_hides_no_passage(spark):
+    rows, want = [], set()
+    for g in range(60):
+        line, passage = words(12), words(24)
+        passage = passage + line + words(24)
+        edited = list(passage)
+        edited[3] = edited[55] = "changed"
+        own = [words(60) + p + words(60) for p in (line, passage, edited)]
+        rows += [(g * 3 + i, " ".join(t)) for i, t in enumerate(own)]
+        want.add((g * 3 + 2, g * 3 + 1))
+    # 60 documents that have nothing but a frequent line of 45 words before those that share 60 with it
+    line = words(45)
+    for i in range(60):
+        rows.append((1000 + i, " ".join(words(50) + line + words(50))))
+    copy = words(8) + line + words(7)
+    rows += [(1100 + i, " ".join(words(50) + copy + words(50))) for i in range(3)]
+    got = {(r.doc_id, r.other_id): r for r in substring.repeated_passages(docs(spark, rows)).collect()}
+    assert want <= set(got)
+    assert all(any(d == i and r.end_word - r.start_word >= 60 for (d, _), r in got.items()) for i in (1101, 1102))
+
+
 def test_passages_equal_brute_force_on_the_tables(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in df.collect()}
