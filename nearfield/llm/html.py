@@ -38,6 +38,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article body div main section td".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html".split())
+#: Block containers, which may be boilerplate by their names.
+NAMED = frozenset("div section ul ol dl table tbody td tr address details figure center dir".split())
 #: What a class, id or role of boilerplate is made of.
 NOISE = re.compile(
     r"(^|[\s_-])(ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|"
@@ -69,6 +71,20 @@ def attributes_of(text: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if "=" in text else {}
 
 
+def is_noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a block container is boilerplate by its names; headings, paragraphs and inline elements never are.
+
+    In an article a class or the role must be such a word as a whole.  Elsewhere a hyphened part of a class is enough,
+    and an id counts as a whole, but not a section's, as it may name what the section is about.
+    """
+    if tag not in NAMED:
+        return False
+    names = [*attributes.get("class", "").split(), *attributes.get("role", "").split()]
+    if in_article:
+        return any(NOISE.fullmatch(x) for x in names)
+    return any(NOISE.search(x) for x in names) or (tag != "section" and bool(NOISE.fullmatch(attributes.get("id", "").strip())))
+
+
 def walk(html: str) -> tuple[list[tuple[int, bool, str]], list[tuple[int, str]]]:
     """The page's blocks (container, in a link, text) in order, and its containers (parent or -1, path)."""
     containers: list[tuple[int, str]] = []
@@ -138,7 +154,7 @@ def walk(html: str) -> tuple[list[tuple[int, bool, str]], list[tuple[int, str]]]
             continue
         attributes = attributes_of(found[3])
         top = stack[-1]
-        noise = tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(" ".join((attributes.get("class", ""), attributes.get("id", ""), attributes.get("role", "")))))) or "hidden" in found[3].lower().split()
+        noise = tag in DROPPED or is_noise(tag, attributes, any(e.tag in ("article", "main") for e in stack)) or "hidden" in found[3].lower().split()
         # an article's own header is text, the site's is not
         if tag == "header" and any(e.tag in ("article", "main") for e in stack):
             noise = False

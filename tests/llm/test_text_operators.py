@@ -189,6 +189,15 @@ def test_extraction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("outer", ["article", "div class=post"])
+def test_slug_ids_are_no_boilerplate(outer):
+    slugs = "side-effects related-work legal-basis form-factor search-for-answers discussion".split()
+    inner = "".join(f'<section id="{x}"><h2 id="{x}">Head {x}</h2><p id="{x}">Text of {x}</p></section>' for x in slugs)
+    page = f'<body><{outer}><h1>Title</h1>{inner}<div class="ad">Buy</div><div class="comments"><p>Reader</p></div></{outer.split()[0]}></body>'
+    paths = ["body>article" if outer == "article" else "body>div.post"]
+    assert html.text_at(page, paths) == "\n".join(["Title", *(t for x in slugs for t in (f"Head {x}", f"Text of {x}"))])
+
+
 def test_hosts_vote(spark):
     page = "<html><body><div class='main%d'><p>{}</p></div><div class='rail'><p>{}</p></div></body></html>"
     many = [(i, "http://h.com", (page % i).format("main text " * 9, "rail " * 2)) for i in range(9)]
