@@ -316,10 +316,11 @@ def test_mixing(spark):
     assert mixing.systematic(df.limit(0)).count() == 0
 
 
-def test_language_model_equals_brute_force(spark):
+@pytest.mark.parametrize("levels", [{}, {"fan": 1, "block_bytes": 400}])  # one level of sums, and five or more
+def test_language_model_equals_brute_force(spark, levels):
     rows = [(i, " ".join(RNG.choice(["the", "The", "of", "a", "rare%d" % RNG.randrange(400)]) for _ in range(RNG.randrange(60)))) for i in range(300)]
     rows += [(1000, None), (1001, ""), (1002, "unseen words here")]
-    got = {r.doc_id: r for r in lm.score(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in lm.score(docs(spark, rows), **levels).collect()}
     assert len(got) == len(rows)
     tokens = {i: (t or "").lower().split() + [None] for i, t in rows}
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i in tokens}
@@ -360,6 +361,25 @@ def test_language_model_equals_brute_force(spark):
     assert lm.score(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_counts_beyond_32_bits_are_exact(spark):
+    keys = np.array([2, 6, 2**50], np.uint64)
+    big = np.array([2**32 - 1, 1, 2**33 + 1], np.uint64)
+    parts = [{"rack": 0, "part": 0, "unit": i, "path": 0, "keys": lm.packed(np.diff(keys, prepend=np.uint64(0))), "trained": lm.packed(big), "held": lm.packed(big[::-1])} for i in range(3)]
+    found = lm.totals(spark.createDataFrame(parts, lm.PARTS)).collect()
+    assert len(found) == 3 and sum(r.n_trained for r in found) == 3 * sum(big.tolist()) and sum(r.n_types for r in found) == 3
+    assert all(lm.unpacked(r.trained, np.uint64).tolist() == [3 * x for x in big.tolist()] for r in found)
+
+
+def test_sums_have_as_many_rows_a_block_at_any_size(spark):
+    rows = [(i, " ".join(words(40))) for i in range(400)]
+    for n in (100, 400):
+        table = lm.blocks(docs(spark, rows[:n]), block_bytes=1).persist()
+        parts = lm.slices(table, 2, 0)
+        assert table.count() == n and parts.count() <= 4 * n
+        assert lm.combined(lm.slices(table, 2, 4), 2, 2, 2).count() <= 16 * 4 * 4
+    assert not spark.catalog.listTables()  # block tables leave no names behind
+
+
 def test_packing():
     x = np.array([0, 1, 255, 256, 2**40, 2**63], np.uint64)
     assert lm.unpacked(lm.packed(x), np.uint64).tolist() == x.tolist()
