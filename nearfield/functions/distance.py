@@ -76,16 +76,31 @@ def register_sql(spark: SparkSession) -> None:
 
 
 def block_distances(queries: np.ndarray, base: np.ndarray, metric: Metric | str) -> np.ndarray:
-    """(queries, base) distances in double, one matrix product."""
+    """(queries, base) distances by one matrix product, in the precision of the vectors."""
     metric = Metric(metric)
-    queries, base = queries.astype(float), base.astype(float)
     product = queries @ base.T
     if metric is Metric.IP:
-        return -product + 0.0
+        return np.negative(product, out=product)
     nq, nb = np.square(queries).sum(1)[:, None], np.square(base).sum(1)[None, :]
     if metric is Metric.L2:
-        return np.maximum(nq + nb - 2 * product, 0.0)
+        product *= -2
+        product += nq
+        product += nb
+        return product
     scale = np.sqrt(nq) * np.sqrt(nb)
+    return np.where(scale == 0, 1, 1 - product / np.where(scale == 0, 1, scale))
+
+
+def pair_distances(queries: np.ndarray, rows: np.ndarray, metric: Metric | str) -> np.ndarray:
+    """Distances of each query to the row beside it, in double and without the cancellation of ``block_distances``."""
+    metric = Metric(metric)
+    queries, rows = queries.astype(float), rows.astype(float)
+    if metric is Metric.L2:
+        return np.square(rows - queries).sum(1)
+    product = (rows * queries).sum(1)
+    if metric is Metric.IP:
+        return -product + 0.0
+    scale = np.sqrt(np.square(rows).sum(1)) * np.sqrt(np.square(queries).sum(1))
     return np.where(scale == 0, 1.0, 1.0 - product / np.where(scale == 0, 1.0, scale))
 
 

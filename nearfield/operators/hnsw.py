@@ -1,27 +1,39 @@
 """Approximate search over shard-local HNSW graphs.
 
-Rows are dealt to shards by a hash of their id; each shard is one graph, built and searched in numpy where its rows are.
-A graph's levels are drawn from a hash of the id, so builds are repeatable.  A search sends a bounded block of queries to
-every shard, takes each shard's k best, and merges them by (distance, id).  Deleted nodes are walked through and never
-returned.  A shard holds about ``shard_rows`` vectors however large the table is, which bounds a task's memory.
+Rows are dealt to shards by a hash of their id; each shard is one graph, held as one row of packed arrays, so a search reads
+the shards where they lie and shuffles nothing but results.  A shard has about ``shard_rows`` vectors and at most
+``SHARD_BYTES`` of them, however large the table is, which bounds a task's memory.
+
+A node's level is drawn from a hash of its id, so builds are repeatable.  A node is linked on each of its levels to the
+nearest ``m`` nodes that came before it, and they to it; a node keeps the nearest of its links, 2 m on the lowest level and
+m above.  As the nearest of a set do not depend on the order in which it was gathered, a shard is built with matrix
+products at once: the result is that of inserting its nodes one by one with a search that misses none, so
+``ef_construction`` sets a floor that is always met.  A search descends greedily and then walks the lowest level with a beam,
+in step for many queries; deleted nodes are walked through and never returned.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..errors import InvalidArgument
-from ..functions.distance import exact_distances
-from .knn import QUERY_BLOCK_BYTES, _top, checked_k, vectors_of
+from ..functions.distance import block_distances, pair_distances
+from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, checked_k, vectors_of
 
-NODES = "shard int, node int, id long, level int, deleted boolean, vec array<float>, neighbors array<array<int>>"
+#: A shard in a row: ids, levels, vectors (float32), each level's nodes and their links (-1: none), and deletion marks.
+SHARDS = "shard int, shards int, ids binary, levels binary, vectors binary, links array<binary>, deleted binary"
+SHARD_BYTES = 64 << 20
+_TILE = 1024
+#: Queries that walk a graph in step.
+_STEP_QUERIES = 256
 
 
 def _hash64(ids: np.ndarray) -> np.ndarray:
@@ -37,195 +49,261 @@ def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
     return np.floor(-np.log(u) / math.log(m)).astype(np.int32)
 
 
+def _linked(vectors: np.ndarray, m: int, cap: int, metric: str) -> np.ndarray:
+    """(n, cap) links of a level's nodes, in order of insertion; -1 where there is none."""
+    n = len(vectors)
+    source, target, far = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for at in range(0, n, _TILE):
+        own = vectors[at : at + _TILE]
+        near = np.full((len(own), m), np.inf, np.float32)
+        who = np.full((len(own), m), -1, np.int32)
+        for left in range(0, at + len(own), 16 * _TILE):
+            right = min(left + 16 * _TILE, at + len(own))
+            d = block_distances(own, vectors[left:right], metric)
+            if right > at:  # only those that came before
+                d[np.arange(left, right)[None, :] >= np.arange(at, at + len(own))[:, None]] = np.inf
+            take = min(m, right - left)
+            pick = np.argpartition(d, take - 1, axis=1)[:, :take] if take < right - left else np.broadcast_to(np.arange(right - left), d.shape)
+            near = np.concatenate((near, np.take_along_axis(d, pick, 1)), 1)
+            who = np.concatenate((who, (pick + left).astype(np.int32)), 1)
+            best = np.argsort(near, axis=1, kind="stable")[:, :m]
+            near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
+        real = np.isfinite(near)
+        source.append(np.repeat(np.arange(at, at + len(own), dtype=np.int32), real.sum(1)))
+        target.append(who[real])
+        far.append(near[real])
+    a, b, d = np.concatenate(source), np.concatenate(target), np.concatenate(far)
+    a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
+    order = np.lexsort((b, d, a))
+    a, b = a[order], b[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    out = np.full((n, cap), -1, np.int32)
+    out[a[rank < cap], rank[rank < cap]] = b[rank < cap]
+    return out
+
+
 class Graph:
-    """One shard.  ``links[level][node]`` is an array of ordinals; nodes are in order of insertion."""
+    """One shard.  ``links[level]`` has a row of ordinals for each node of the level; nodes are in order of insertion."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, config: Config):
-        self.ids, self.vectors, self.config = ids, vectors.astype(np.float32), config
-        self.deleted = np.zeros(len(ids), bool)
-        self.levels = levels_of(ids, config.m)
-        self.links: list[dict[int, np.ndarray]] = []
-        self.entry, self.top = -1, -1
-        self.seen = np.zeros(len(ids), np.int64)
-        self.epoch = 0
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, config: Config, deleted: np.ndarray | None = None, levels: np.ndarray | None = None, links: list[np.ndarray] | None = None):
+        self.ids, self.vectors, self.config = ids, vectors.astype(np.float32, copy=False), config
+        self.levels = levels_of(ids, config.m) if levels is None else levels
+        self.deleted = np.zeros(len(ids), bool) if deleted is None else deleted
+        top = int(self.levels.max()) if len(ids) else -1
+        #: the nodes of each level; the entry is the first of the tallest
+        self.members = [np.flatnonzero(self.levels >= at).astype(np.int32) for at in range(top + 1)]
+        self.links = links or []
 
     def build(self) -> Graph:
-        for node in range(len(self.ids)):
-            self._insert(node)
+        self.links = []
+        for at, own in enumerate(self.members):
+            links = _linked(self.vectors[own], self.config.m, self.config.m * (1 if at else 2), self.config.metric.value)
+            self.links.append(np.where(links >= 0, own[links], -1).astype(np.int32))
         return self
 
-    def _far(self, query: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return exact_distances(query, self.vectors[nodes], self.config.metric)
-
-    def _insert(self, node: int) -> None:
-        level = int(self.levels[node])
-        while len(self.links) <= level:
-            self.links.append({})
-        for at in range(level + 1):
-            self.links[at][node] = np.zeros(0, np.int32)
-        if self.entry < 0:
-            self.entry, self.top = node, level
-            return
-        query = self.vectors[node]
-        starts = [self.entry]
-        for at in range(self.top, level, -1):
-            starts = [n for _, n in self._beam(query, starts, 1, at)]
-        for at in range(min(level, self.top), -1, -1):
-            found = self._beam(query, starts, self.config.ef_construction, at)
-            chosen = np.array([n for _, n in found[: self.config.m]], np.int32)
-            self.links[at][node] = chosen
-            cap = self.config.m * (2 if at == 0 else 1)
-            for other in chosen.tolist():
-                own = np.append(self.links[at][other], np.int32(node))
-                if len(own) > cap:
-                    near = self._far(self.vectors[other], own)
-                    own = own[np.lexsort((own, near))[:cap]]
-                self.links[at][other] = own
-            starts = [n for _, n in found]
-        if level > self.top:
-            self.entry, self.top = node, level
-
-    def _beam(self, query: np.ndarray, starts: list[int], width: int, level: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest nodes that a best-first walk finds, nearest first; deleted ones are walked through."""
-        self.epoch += 1
-        first = np.array(starts)
-        self.seen[first] = self.epoch
-        near = self._far(query, first)
-        todo = list(zip(near.tolist(), starts, strict=True))
-        heapq.heapify(todo)
-        best = [(-d, -n) for d, n in todo if not self.deleted[n]]
-        heapq.heapify(best)
-        while len(best) > width:
-            heapq.heappop(best)
-        links = self.links[level]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            next_ = links[node]
-            next_ = next_[self.seen[next_] != self.epoch]
-            if not len(next_):
-                continue
-            self.seen[next_] = self.epoch
-            for d, n in zip(self._far(query, next_).tolist(), next_.tolist(), strict=True):
-                if len(best) < width or d < -best[0][0]:
-                    heapq.heappush(todo, (d, n))
-                    if not self.deleted[n]:
-                        heapq.heappush(best, (-d, -n))
-                        if len(best) > width:
-                            heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
+    def _far(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Distances of each query to its row of nodes; infinite for -1."""
+        rows = self.vectors[nodes]
+        product = np.matmul(rows, queries[:, :, None])[:, :, 0]
+        metric = self.config.metric.value
+        if metric == "ip":
+            far = -product
+        elif metric == "l2":
+            far = self._norms[nodes] - 2 * product
+        else:
+            scale = np.sqrt(self._norms[nodes]) * np.sqrt(np.square(queries).sum(1))[:, None]
+            far = np.where(scale == 0, np.float32(1), 1 - product / np.where(scale == 0, 1, scale))
+        return np.where(nodes >= 0, far, np.float32(np.inf))
+
+    def _beams(self, queries: np.ndarray, starts: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes), in no order: the ``width`` nearest that a best-first walk of each query finds."""
+        n = len(queries)
+        place = np.full(len(self.ids), -1, np.int32)
+        place[self.members[level]] = np.arange(len(self.members[level]), dtype=np.int32)
+        near, nodes = np.full((n, width), np.inf, np.float32), np.full((n, width), -1, np.int32)
+        near[:, 0], nodes[:, 0] = self._far(queries, starts[:, None])[:, 0], starts
+        todo = np.zeros((n, width), bool)  # not walked from yet
+        todo[:, 0] = True
+        seen = np.zeros((n, len(self.ids) + 1), bool)  # the last stands for -1
+        seen[np.arange(n), starts] = seen[:, -1] = True
+        active = np.arange(n)
+        while len(active):
+            at = np.where(todo[active], near[active], np.inf).argmin(1)
+            todo[active, at] = False
+            next_ = self.links[level][place[nodes[active, at]]]
+            next_ = np.where(seen[active[:, None], next_], -1, next_)
+            seen[active[:, None], next_] = True
+            used = int((next_ >= 0).sum(1).max())
+            if used:
+                if used < next_.shape[1]:  # the new ones first, so that fewer columns are computed
+                    next_ = np.take_along_axis(next_, np.argsort(next_ < 0, axis=1, kind="stable")[:, :used], 1)
+                far = self._far(queries[active], next_)
+                all_far = np.concatenate((near[active], far), 1)
+                order = np.argpartition(all_far, width - 1, axis=1)[:, :width]
+                near[active] = np.take_along_axis(all_far, order, 1)
+                nodes[active] = np.take_along_axis(np.concatenate((nodes[active], next_), 1), order, 1)
+                todo[active] = np.take_along_axis(np.concatenate((todo[active], next_ >= 0), 1), order, 1)
+            active = active[todo[active].any(1)]
+        return near, nodes
+
+    def search_many(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) of at most k live nodes each, by (distance, id); distances are exact."""
+        live = int((~self.deleted).sum())
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not live or not k or not len(queries):
+            return empty
+        # deleted nodes take places of the beam, so it is wider by their share
+        width = min(len(self.ids), -(-max(ef, k) * len(self.ids) // live))
+        self._norms = np.square(self.vectors).sum(1)
+        out = []
+        for at in range(0, len(queries), step := max(1, min(_STEP_QUERIES, (256 << 20) // (len(self.ids) + 1)))):
+            own = queries[at : at + step].astype(np.float32)
+            starts = np.full(len(own), self.members[-1][0], np.int32)
+            for level in range(len(self.members) - 1, 0, -1):
+                starts = self._beams(own, starts, 1, level)[1][:, 0]
+            _, nodes = self._beams(own, starts, width, 0)
+            q, c = np.nonzero((nodes >= 0) & ~self.deleted[nodes])
+            node = nodes[q, c].astype(np.int64)
+            far = pair_distances(own[q], self.vectors[node], self.config.metric)
+            order = np.lexsort((self.ids[node], far, q))
+            rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            keep = order[rank < k]
+            out.append((q[keep] + at, node[keep], far[keep]))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     def search(self, query: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of at most k live nodes, by (distance, id)."""
-        if self.entry < 0 or not k:
-            return np.zeros(0, np.int64), np.zeros(0)
-        live = self.deleted
-        starts = [self.entry]
-        for at in range(self.top, 0, -1):
-            self.deleted = np.zeros(len(live), bool)  # a deleted node leads on as well
-            starts = [n for _, n in self._beam(query, starts, 1, at)]
-        self.deleted = live
-        found = self._beam(query, starts, max(ef, k), 0)
-        nodes = np.array([n for _, n in found], np.int64)
-        near = np.array([d for d, _ in found])
-        order = np.lexsort((self.ids[nodes], near))[:k] if len(nodes) else np.zeros(0, np.int64)
-        return self.ids[nodes[order]] if len(order) else np.zeros(0, np.int64), near[order]
-
-    def rows(self, shard: int) -> pa.Table:
-        links = [[self.links[at][n].tolist() for at in range(int(self.levels[n]) + 1)] for n in range(len(self.ids))]
-        n = len(self.ids)
-        return pa.table(
-            [pa.array([shard] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(self.ids), pa.array(self.levels), pa.array(self.deleted), pa.array(list(self.vectors), pa.list_(pa.float32())), pa.array(links, pa.list_(pa.list_(pa.int32())))],
-            names=["shard", "node", "id", "level", "deleted", "vec", "neighbors"],
-        )
+        _, node, far = self.search_many(np.asarray(query, np.float32)[None, :], k, ef)
+        return self.ids[node], far
+
+    def packed(self, shard: int, shards: int) -> dict:
+        """The row of ``SHARDS``."""
+        arrays = (self.ids.astype("<i8"), self.levels.astype("<i4"), self.vectors.astype("<f4"))
+        ids, levels, vectors = (x.tobytes() for x in arrays)
+        return {"shard": shard, "shards": shards, "ids": ids, "levels": levels, "vectors": vectors, "links": [x.astype("<i4").tobytes() for x in self.links], "deleted": self.deleted.tobytes()}
 
     @classmethod
-    def of_rows(cls, table: pa.Table, config: Config) -> Graph:
-        table = table.sort_by("node")
-        vectors = np.asarray(table["vec"].combine_chunks().flatten(), np.float32).reshape(-1, config.dimension)
-        out = cls(table["id"].to_numpy().astype(np.int64), vectors, config)
-        out.levels, out.deleted = table["level"].to_numpy(), table["deleted"].to_numpy(zero_copy_only=False).copy()
-        for node, lists in enumerate(table["neighbors"].to_pylist()):
-            for at, own in enumerate(lists):
-                while len(out.links) <= at:
-                    out.links.append({})
-                out.links[at][node] = np.array(own, np.int32)
-        if len(out.ids):
-            out.top = int(out.levels.max())
-            out.entry = int(np.flatnonzero(out.levels == out.top)[0])  # the first of the tallest, as when it was built
-        return out
+    def unpacked(cls, row: dict, config: Config) -> Graph:
+        ids, levels = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["levels"], "<i4")
+        vectors = np.frombuffer(row["vectors"], "<f4").reshape(len(ids), -1) if len(ids) else np.zeros((0, config.dimension), np.float32)
+        links = [np.frombuffer(x, "<i4").reshape(-1, config.m * (1 if at else 2)) for at, x in enumerate(row["links"])]
+        return cls(ids, vectors, config, np.frombuffer(row["deleted"], bool), levels, links)
+
+
+def shard_of(id_: str, shards: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_).cast("long")), shards).cast("int")
 
 
 def build(df: DataFrame, config: Config, id_: str = "id", vector: str = "vector", shards: int | None = None) -> DataFrame:
-    """The node table (``NODES``) of ``df``'s graphs.  Ids must be distinct."""
+    """The table (``SHARDS``) of ``df``'s graphs.  Ids must be distinct."""
     if shards is None:
-        shards = max(1, -(-df.count() // config.shard_rows))
-    shard = F.pmod(F.xxhash64(F.col(id_).cast("long")), F.lit(shards)).cast("int")
-    rows = df.select(shard.alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        shards = max(1, -(-df.count() // max(1, min(config.shard_rows, SHARD_BYTES // (4 * config.dimension)))))
+    rows = df.select(shard_of(id_, F.lit(shards)).alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    schema = T._parse_datatype_string(SHARDS)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
-        ids, vectors = vectors_of(table.to_batches()[0], config.dimension)
-        return Graph(ids, vectors, config).build().rows(table["shard"][0].as_py())
+        ids, vectors = vectors_of(table, config.dimension)
+        graph = Graph(ids.to_numpy(zero_copy_only=False).astype(np.int64), vectors, config).build()
+        row = graph.packed(table["shard"][0].as_py(), shards)
+        kinds = {"shard": pa.int32(), "shards": pa.int32(), "links": pa.list_(pa.binary())}
+        return pa.table({c: pa.array([row[c]], kinds.get(c, pa.binary())) for c in schema.names})
+
+    return rows.groupBy("shard").applyInArrow(run, schema)
+
 
-    return rows.groupBy("shard").applyInArrow(run, NODES)
+def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """(query_id, rank, id, distance): the merged best of all shards, which are searched where they lie.
 
+    Queries go out in blocks of bounded size; with several blocks, each one's results are written before the next is read.
+    A query of another length than the collection's is an error; one with null or infinite elements has no results.
+    """
+    from ..sources.store import stored
 
-def search(nodes: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """(query_id, rank, id, distance): the merged best of all shards.  Queries go out in blocks of bounded size."""
     checked_k(k)
     effort = config.ef(k, ef)
-    spark = nodes.sparkSession
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-    out = None
-
-    def flush() -> None:
-        nonlocal out
-        if not ids:
-            return
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float32)))
-
-        def run(table: pa.Table) -> pa.Table:
-            graph = Graph.of_rows(table, config)
-            own_ids, own = sent.value
-            q, i, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for query_id, query in zip(own_ids, own, strict=True):
-                found, near = graph.search(query, k, effort)
-                q.append(np.full(len(found), query_id))
-                i.append(found)
-                d.append(near)
-            return pa.table([pa.array(np.concatenate(q)), pa.array(np.concatenate(i)), pa.array(np.concatenate(d))], names=["query_id", "id", "distance"])
-
-        part = nodes.groupBy("shard").applyInArrow(run, "query_id long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
-        ids.clear()
-        vectors.clear()
-
-    for row in queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v")).toLocalIterator():
-        if row.v is None or len(row.v) != config.dimension:
-            raise InvalidArgument(f"a query needs {config.dimension} elements")
-        ids.append(row.q)
-        vectors.append(row.v)
-        if 4 * len(ids) * config.dimension >= QUERY_BLOCK_BYTES:
-            flush()
-    flush()
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+    spark = shards.sparkSession
+    rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<float>").alias("v"))
+    if not rows.where(F.coalesce(F.size("v") != config.dimension, F.lit(True))).isEmpty():
+        raise InvalidArgument(f"a query needs {config.dimension} elements")
+    schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    blocks = _query_blocks(rows, np.dtype("f4"), QUERY_BLOCK_BYTES, 1 << 20)
+    done: list[DataFrame] = []
+    ahead = next(blocks, None)
+    while ahead is not None:
+        block, ahead = ahead, next(blocks, None)
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            ids, vectors = sent.value
+            names = to_arrow_schema(schema)
+            own_ids = pa.array(ids, names.field("query_id").type)
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    graph = Graph.unpacked(batch.slice(at, 1).to_pylist()[0], config)
+                    q, node, far = graph.search_many(vectors, k, effort)
+                    yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(q)), pa.array(graph.ids[node]), pa.array(far)], schema=names)
+
+        part = shards.mapInArrow(run, schema)
+        if done or ahead is not None:
+            part = stored(part, "neighbours")
+            sent.destroy()
+        done.append(part)
+    out = done[0] if done else spark.createDataFrame([], schema)
+    for part in done[1:]:
+        out = out.unionByName(part)
     return _top(out, k)
 
 
-def remove(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The node table with the ids' nodes marked as deleted; they still lead searches on."""
-    gone = ids.select(F.col("id").alias("__gone")).distinct()
-    marked = nodes.join(gone, F.col("id") == F.col("__gone"), "left").withColumn("deleted", F.col("deleted") | F.col("__gone").isNotNull())
-    return marked.select(nodes.columns)
+def remove(shards: DataFrame, ids: DataFrame) -> DataFrame:
+    """The table with the ids' nodes marked as deleted; they still lead searches on.
+
+    Ids are gathered by shard; the shards themselves are not shuffled where Spark finds the ids few enough to broadcast.
+    """
+    gone = ids.select(F.col("id").cast("long").alias("id")).distinct()
+    gone = gone.groupBy(shard_of("id", shards.agg(F.max("shards")).scalar()).alias("__shard")).agg(F.collect_list("id").alias("__gone"))
+    schema = T._parse_datatype_string(SHARDS)
+    at = schema.names.index("deleted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                own = np.frombuffer(row.column("ids")[0].as_py(), "<i8")
+                marks = np.frombuffer(row.column("deleted")[0].as_py(), bool) | np.isin(own, np.array(row.column("__gone")[0].as_py() or [], np.int64))
+                columns = [row.column(c) for c in schema.names]
+                columns[at] = pa.array([marks.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return shards.join(gone, F.col("shard") == F.col("__shard"), "left").select(*schema.names, "__gone").mapInArrow(run, schema)
+
+
+def nodes(shards: DataFrame, config: Config) -> DataFrame:
+    """(shard, node, id, level, deleted, vec, neighbors): the graphs node by node, neighbors by level as ordinals."""
+    names = "shard int, node int, id long, level int, deleted boolean, vec array<float>, neighbors array<array<int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                graph = Graph.unpacked(row, config)
+                places = [np.searchsorted(own, np.arange(len(graph.ids))) for own in graph.members]
+                for at in range(0, len(graph.ids), 4096):
+                    own = range(at, min(at + 4096, len(graph.ids)))
+                    links = [[[x for x in graph.links[v][places[v][o]].tolist() if x >= 0] for v in range(int(graph.levels[o]) + 1)] for o in own]
+                    cut = slice(own.start, own.stop)
+                    columns = [pa.array([row["shard"]] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(graph.ids[cut]), pa.array(graph.levels[cut]), pa.array(graph.deleted[cut]), pa.array(list(graph.vectors[cut]), pa.list_(pa.float32())), pa.array(links, pa.list_(pa.list_(pa.int32())))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "id", "level", "deleted", "vec", "neighbors"])
+
+    return shards.mapInArrow(run, names)
 
 
-def count(nodes: DataFrame) -> int:
+def count(shards: DataFrame) -> int:
     """Live nodes."""
-    return nodes.where(~F.col("deleted")).count()
+    deleted = F.length(F.translate(F.hex("deleted"), "0", ""))
+    return shards.agg(F.coalesce(F.sum(F.octet_length("deleted") - deleted), F.lit(0))).first()[0]
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

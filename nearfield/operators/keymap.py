@@ -48,8 +48,13 @@ def contains(base: DataFrame, key: int) -> bool:
     return not find(base, key).isEmpty()
 
 
+def summary(base: DataFrame) -> DataFrame:
+    """One row: the number of pairs, the least and the greatest key."""
+    return base.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("greatest"))
+
+
 def count(base: DataFrame) -> int:
-    return base.count()
+    return summary(base).first().n
 
 
 def range_query(base: DataFrame, low: int, high: int) -> DataFrame:

@@ -7,19 +7,28 @@ null vector, another length) or NaN are never results.  k beyond the table gives
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Metric
 from ..errors import InvalidArgument
-from ..functions.distance import block_distances, distance, exact_distances
+from ..functions.distance import block_distances, distance, pair_distances
+from ..sources.store import stored
 
 #: Query vectors that one pass over the base sends to each task, at most.
-QUERY_BLOCK_BYTES = 16 << 20
+QUERY_BLOCK_BYTES, BLOCK_QUERIES = 16 << 20, 4096
+#: Candidates that a task holds for the queries of a block, at most.
+BLOCK_RESULTS = 4_000_000
+#: A tile of distances, or of rows, that a task holds.
+TILE_BYTES = 32 << 20
 
 
 def checked_k(k: int) -> int:
@@ -46,102 +55,150 @@ def nearest(df: DataFrame, query: Column | Sequence[float], k: int, metric: Metr
     return ranked(best.where(F.col("distance").isNotNull() & ~F.isnan("distance")))
 
 
-def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """(query_id, rank, id, distance) of the k rows nearest to each query, as a declarative top-k join.
-
-    The queries are sent to all tasks only if Spark knows them to be within ``QUERY_BLOCK_BYTES``; beyond that they go in
-    blocks.  Spark limits each window group before and after its shuffle.
-    """
-    if int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > QUERY_BLOCK_BYTES:
-        return nearest_blocks(base, queries, k, metric, id_, vector, query_id, query_vector)
-    left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"))
-    right = base.select(F.col(id_).alias("id"), F.col(vector).alias("__v"))
-    # not an equality: all rows have one length, and a join keyed by it would be a single task
-    pairs = right.join(F.broadcast(left), ~(F.size("__v") < F.size("__q")) & ~(F.size("__v") > F.size("__q")))
-    found = pairs.select("query_id", "id", distance(F.col("__v"), F.col("__q"), metric).alias("distance"))
-    return _top(found, k)
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= checked_k(k))
     return best.where(F.col("distance").isNotNull() & ~F.isnan("distance")).select("query_id", "rank", "id", "distance")
 
 
-def nearest_blocks(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """The same result by matrix products: a block of queries of bounded size meets each Arrow batch of the base.
+def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector", where: Column | None = None, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """(query_id, rank, id, distance) of the k rows nearest to each query among those that ``where`` keeps.
 
-    Query blocks are read one after the other, never all at once; each task keeps k candidates a query, and their
-    distances are computed again without cancellation before the merge.
+    A block of queries of bounded size meets the base's rows, where they lie, as matrix products; a row's exact distance is
+    computed only where rounding leaves it a chance, and each task gives k candidates a query to the merge.  Elements are
+    used as they are stored, floats or doubles; ids may be of any ordered type.  Base rows with a null or NaN distance are
+    never results: those of another length than the query, and those with null, NaN or infinite elements.  A query whose
+    vector is null, empty or has such elements has no results.  Rows with one query id count as one query, as their results are
+    ranked together.  Queries are read block by block: with several blocks, each one's results are written to the shared
+    folder before the next is read, so the driver and the tasks hold one block.
     """
     checked_k(k)
     spark = base.sparkSession
-    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<float>").alias("v")).where("q is not null and v is not null")
-    out = None
-    block_ids: list[int] = []
-    block_vectors: list[list[float]] = []
-
-    def flush() -> None:
-        nonlocal out
-        if block_ids:
-            part = _block(base, np.array(block_ids, np.int64), np.array(block_vectors, np.float32), k, metric, id_, vector)
-            out = part if out is None else out.unionByName(part)
-            block_ids.clear()
-            block_vectors.clear()
-
+    rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"))
+    kind = "float" if {_element(base, vector), _element(queries, query_vector)} == {"float"} else "double"
+    source = (base if where is None else base.where(where)).select(F.col(id_).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+    schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("id", source.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    done: list[DataFrame] = []
+    most = max(1, min(BLOCK_QUERIES, BLOCK_RESULTS // max(k, 1)))
+    blocks = _query_blocks(rows.where("v is not null").withColumn("v", F.col("v").cast(f"array<{kind}>")), np.dtype("f4" if kind == "float" else "f8"), block_bytes, most)
+    ahead = next(blocks, None)
+    while ahead is not None:
+        block, ahead = ahead, next(blocks, None)
+        part, sent = _block(source, block, k, Metric(metric).value, schema)
+        if done or ahead is not None:
+            part = stored(part, "neighbours")
+            sent.destroy()
+        done.append(part)
+    if not done:
+        return _top(spark.createDataFrame([], schema), k)
+    return _top(reduce(DataFrame.unionByName, done), k)
+
+
+#: One way of searching in batches; the former name of it.
+nearest_blocks = nearest_batch
+
+
+def _element(df: DataFrame, vector: str) -> str:
+    return df.select(F.col(vector)).schema[0].dataType.elementType.simpleString()
+
+
+def _query_blocks(rows: DataFrame, kind: np.dtype, block_bytes: int, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, matrix) of usable queries of one length, of at most about ``block_bytes`` and ``most`` of them."""
+    held: dict[int, tuple[list, list]] = {}
+    held_bytes = 0
     for row in rows.toLocalIterator():
-        if block_vectors and len(row.v) != len(block_vectors[0]):
-            raise InvalidArgument("queries differ in length")
-        block_ids.append(row.q)
-        block_vectors.append(row.v)
-        if 4 * len(block_vectors) * len(row.v) >= QUERY_BLOCK_BYTES:
-            flush()
-    flush()
-    empty = spark.createDataFrame([], "query_id long, rank int, id long, distance double")
-    return empty if out is None else _top(out, k)
-
-
-def _block(base: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, metric: Metric | str, id_: str, vector: str) -> DataFrame:
-    sent = base.sparkSession.sparkContext.broadcast((ids, vectors))  # at most QUERY_BLOCK_BYTES and the last row
-    metric = Metric(metric).value
+        vector = np.array([np.nan if x is None else x for x in row.v], kind)
+        if not len(vector) or not np.isfinite(vector).all():
+            continue
+        ids, vectors = held.setdefault(len(vector), ([], []))
+        ids.append(row.query_id)
+        vectors.append(vector)
+        held_bytes += vector.nbytes
+        if len(ids) >= most or held_bytes >= block_bytes:
+            if held_bytes < block_bytes:  # the one length is full
+                held_bytes -= sum(v.nbytes for v in vectors)
+                yield ids, np.stack(vectors)
+                del held[len(vector)]
+            else:
+                yield from ((i, np.stack(v)) for i, v in held.values())
+                held.clear()
+                held_bytes = 0
+    yield from ((i, np.stack(v)) for i, v in held.values())
+
+
+def _wide(norms: np.ndarray) -> bool:
+    return bool(((norms > 0) & (norms < 1e-30)).any() or (norms > 1e30).any())
+
+
+class _Best:
+    """The k nearest rows so far of each query of a block: distances and ids, by (distance, id)."""
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, id_type: pa.DataType):
+        self.queries, self.k, self.metric = queries, k, metric
+        self.norms = np.square(queries, dtype=float).sum(1)
+        self.wide = _wide(self.norms)
+        self.owner, self.far = np.zeros(0, np.int64), np.zeros(0)
+        self.ids = pa.array([], id_type)
+        self.limit = np.full(len(queries), np.inf)  # the distance of a query's k-th row
+
+    def take(self, ids: pa.Array, rows: np.ndarray) -> None:
+        """Rows of a tile; what rounding could bring among the k best is computed again without cancellation."""
+        n = len(rows)
+        norms = np.square(rows, dtype=float).sum(1)
+        largest = float(norms.max())
+        wide = self.wide or _wide(norms)  # squares that single precision would lose
+        rough = block_distances(*((x.astype(float) for x in (self.queries, rows)) if wide else (self.queries, rows)), self.metric)
+        scale = self.norms + largest if self.metric != "cosine" else np.full(len(self.norms), 2.0)
+        slack = scale * (rows.shape[1] + 16) * 4 * np.finfo(rough.dtype).eps
+        limit = self.limit
+        if self.k < n and np.isinf(limit).any():  # until a query has k rows, the tile's own k-th is its limit
+            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
+        owner, at = np.nonzero(~(rough > (limit + slack)[:, None]))  # so also where the product overflows
+        del rough
+        far = np.empty(len(owner))
+        step = max(1, TILE_BYTES // (16 * rows.shape[1]))
+        for s in range(0, len(owner), step):
+            far[s : s + step] = pair_distances(self.queries[owner[s : s + step]], rows[at[s : s + step]], self.metric)
+        owner, far = np.concatenate((self.owner, owner)), np.concatenate((self.far, far))
+        ids = pa.concat_arrays([self.ids, ids.take(pa.array(at))])
+        place = np.empty(len(ids), np.int64)
+        place[pa.compute.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place, far, owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        keep = order[rank < self.k]
+        self.owner, self.far, self.ids = owner[keep], far[keep], ids.take(pa.array(keep))
+        full = np.bincount(self.owner, minlength=len(self.queries)) == self.k
+        last = np.cumsum(np.bincount(self.owner, minlength=len(self.queries))) - 1
+        self.limit[full] = self.far[last[full]]
+
+
+def _block(source: DataFrame, block: tuple[list, np.ndarray], k: int, metric: str, schema: T.StructType) -> tuple[DataFrame, Broadcast]:
+    sent = source.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = sent.value
-        dim = query_rows.shape[1]
-        best_d = np.zeros((len(query_ids), 0))
-        best_i = np.zeros((len(query_ids), 0), np.int64)
+        query_ids, queries = sent.value
+        names = to_arrow_schema(schema)
+        best = _Best(queries, k, metric, names.field("id").type)
+        tile = max(16, TILE_BYTES // (8 * max(len(queries), queries.shape[1])))
         for batch in batches:
-            own, rows = vectors_of(batch, dim)
-            for at in range(0, len(own), 4096):
-                part, part_ids = rows[at : at + 4096], own[at : at + 4096]
-                rough = block_distances(query_rows, part, metric)
-                # candidates: all that rounding could bring among the k best
-                take = min(k, len(part))
-                if not take:
-                    continue
-                limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                slack = 1e-9 * (1 + np.abs(rough).max())
-                picks = [np.flatnonzero(rough[q] <= limit[q] + slack) for q in range(len(query_ids))]
-                width = max(map(len, picks))
-                d = np.full((len(query_ids), width), np.inf)
-                i = np.full((len(query_ids), width), np.iinfo(np.int64).max)
-                for q, p in enumerate(picks):
-                    d[q, : len(p)] = exact_distances(query_rows[q], part[p], metric)
-                    i[q, : len(p)] = part_ids[p]
-                best_d, best_i = np.concatenate((best_d, d), 1), np.concatenate((best_i, i), 1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        real = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, real.sum(1))), pa.array(best_i[real]), pa.array(best_d[real])], names=["query_id", "id", "distance"])
-
-    return base.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "query_id long, id long, distance double")
-
-
-def vectors_of(batch: pa.RecordBatch, dim: int, id_: str = "id", vector: str = "v") -> tuple[np.ndarray, np.ndarray]:
+            ids, rows = vectors_of(batch, queries.shape[1], queries.dtype)
+            for at in range(0, len(ids), tile):
+                if k:
+                    best.take(ids.slice(at, tile), rows[at : at + tile])
+        owners = pa.array(query_ids, names.field("query_id").type).take(pa.array(best.owner))
+        yield pa.RecordBatch.from_arrays([owners, best.ids, pa.array(best.far)], schema=names)
+
+    return source.mapInArrow(run, schema), sent
+
+
+def vectors_of(batch: pa.RecordBatch, dim: int, kind: np.dtype | type = np.float32, id_: str = "id", vector: str = "v") -> tuple[pa.Array, np.ndarray]:
     """Ids and the (n, dim) matrix of the batch's whole, finite vectors."""
-    column = batch.column(vector)
-    keep = np.array(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), dim), False))
-    column, ids = column.filter(pa.array(keep)), batch.column(id_).filter(pa.array(keep))
-    matrix = np.asarray(pa.compute.fill_null(column.flatten(), float("nan")), np.float32).reshape(-1, dim)
-    good = np.isfinite(matrix).all(1) & ~np.asarray(pa.compute.is_null(ids))
-    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), matrix[good]
+    column, ids = batch.column(vector), batch.column(id_)
+    column, ids = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (column, ids))
+    keep = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), dim), False)
+    if not pa.compute.all(keep).as_py():
+        column, ids = column.filter(keep), ids.filter(keep)
+    flat = column.flatten()
+    matrix = np.asarray(pa.compute.fill_null(flat, float("nan")) if flat.null_count else flat, kind).reshape(-1, dim)
+    good = np.isfinite(matrix).all(1)
+    return (ids, matrix) if good.all() else (ids.filter(pa.array(good)), matrix[good])

@@ -129,9 +129,25 @@ def parse(text: str | None) -> Node | None:
     return tree
 
 
-def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column] | None = None, under_not: bool = False) -> Column | None:
+Promoted = Mapping[str, Column | tuple[Column, str]]
+
+
+def _typed(promoted: Promoted | None, field: str, literal: str | float | bool | None) -> Column | None:
+    """The promoted column of a field where it says the same as the JSON text, by its type and that of the literal."""
+    own = (promoted or {}).get(field)
+    if own is None or isinstance(own, Column):
+        return own
+    column, kind = own
+    if kind == "string" or (isinstance(literal, float) and kind != "boolean") or (isinstance(literal, bool | None) and kind == "boolean"):
+        return column
+    return None
+
+
+def compiled(node: Node | None, metadata: Column, promoted: Promoted | None = None, under_not: bool = False) -> Column | None:
     """A boolean column for ``where``.  Fields in ``promoted`` are read from typed columns, which Parquet can skip by.
 
+    A promoted column, alone or with its SQL type, holds what ``try_cast`` makes of the JSON text.  With its type it is
+    used only where it answers as the text does: 5 stored as a double is not the text '5'.
     Outside NOT a null is as good as false, and the bare comparison can be pushed down to the scan; under NOT it is made
     false.
     """
@@ -145,7 +161,7 @@ def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column]
             column = compiled(part, metadata, promoted, under_not)
             out = column if out is None else (out & column if node.op == "and" else out | column)
         return out
-    own = (promoted or {}).get(node.field)
+    own = _typed(promoted, node.field, node.literal)
     value = own if own is not None else F.get_json_object(metadata, "$." + node.field)
     known = (lambda c: F.coalesce(c, F.lit(False))) if under_not else (lambda c: c)
     if node.op is None:
@@ -153,7 +169,7 @@ def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column]
     if isinstance(node.literal, bool):
         value = value.try_cast("string").try_cast("boolean")
     elif isinstance(node.literal, float):
-        value = value.try_cast("double") if own is None else value
+        value = value.try_cast("double")  # nothing to do where the column is one
     else:
         value = value.cast("string")
     other = F.lit(node.literal)
@@ -161,5 +177,5 @@ def compiled(node: Node | None, metadata: Column, promoted: Mapping[str, Column]
     return known(made)
 
 
-def filter_column(text: str | None, metadata: Column, promoted: Mapping[str, Column] | None = None) -> Column | None:
+def filter_column(text: str | None, metadata: Column, promoted: Promoted | None = None) -> Column | None:
     return compiled(parse(text), metadata, promoted)

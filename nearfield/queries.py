@@ -5,17 +5,18 @@ Distances are ordered raw and rounded to six places in the output alone.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .config import Config, Index, Metric
+from .config import Config, Index, Metric, OpenMode
 from .functions.distance import distance, register_sql
 from .operators import hnsw, keymap, knn
 from .plans.filters import filter_column
+from .sources.collection import Collection
+from .sources.store import Store, work_folder
 
 K = 10
 
@@ -57,11 +58,13 @@ def _rescaled(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def distance_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All three distances of the first twenty vectors with one another: the pair report is the feature."""
-    first = embeddings(spark, sf).where("id < 20")
-    a, b = (first.select(F.col("id").alias(f"id_{n}"), F.col("vector").alias(n)) for n in "ab")
-    pairs = a.join(b, F.col("id_a") <= F.col("id_b"))
-    return pairs.select("id_a", "id_b", *((F.round(distance(F.col("a"), F.col("b"), m), 6) + 0.0).alias(m.value) for m in Metric))
+    """All three distances of every vector to three fixed ones."""
+    rows = embeddings(spark, sf)
+    parts = []
+    for i in (0, 1, 2):
+        query = query_vector(spark, sf, i)
+        parts.append(rows.select(F.lit(i).cast("long").alias("id_a"), F.col("id").alias("id_b"), *((F.round(distance(F.col("vector"), query, m), 6) + 0.0).alias(m.value) for m in Metric)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,19 +88,30 @@ def knn_k_gt_n(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(knn.nearest(embeddings(spark, sf), query_vector(spark, sf), 1000, where=F.col("label") == 3))
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """The query set: every vector whose id is divisible by 50."""
+    return rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """In blocks so small that there are several."""
     rows = embeddings(spark, sf)
-    return _rounded(knn.nearest_batch(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), K))
+    return _rounded(knn.nearest_batch(rows, _asked(rows), K, block_bytes=256))
 
 
 def knn_batch_blocks(metric: Metric) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = embeddings(spark, sf)
-        return _rounded(knn.nearest_blocks(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), K, metric))
+        return _rounded(knn.nearest_batch(rows, _asked(rows), K, metric))
 
     return run
 
 
+def knn_batch_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    rows = with_metadata(spark, sf)
+    return _rounded(knn.nearest_batch(rows, _asked(rows), K, where=filter_column("NOT lang = 'en'", F.col("metadata"))))
+
+
 def _filtered(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         where = filter_column(text, F.col("metadata"))
@@ -117,43 +131,53 @@ def filter_scan_text(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(filter_column("(k = '42' OR k < 3.5) AND NOT missing", F.col("props"))).select("event_id", "props")
 
 
+def _outer(df: DataFrame) -> DataFrame:
+    """Ids as the tables have them; a collection's begin with 1."""
+    return df.withColumn("id", F.col("id") - 1)
+
+
 def get_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return embeddings(spark, sf).where("id = 42").select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    row = _collection(spark, sf).get_strict(43)
+    found = spark.createDataFrame([row], "id long, vector array<float>, metadata string")
+    return _outer(found).select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
 def exists_ids(spark: SparkSession, sf: str) -> DataFrame:
-    asked = spark.createDataFrame([(7,), (42,), (10**9,)], "id long")
-    return asked.join(embeddings(spark, sf).select("id", F.lit(True).alias("there")), "id", "left").select("id", F.coalesce("there", F.lit(False)).alias("found"))
+    found = _collection(spark, sf)
+    return spark.createDataFrame([(i, found.exists(i + 1)) for i in (7, 42, 10**9)], "id long, found boolean")
 
 
 def count_live(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embeddings(spark, sf)
-    return rows.join(rows.where("id % 3 = 0").select("id"), "id", "left_anti").agg(F.count("*").alias("n"))
+    found = _collection(spark, sf)
+    found.delete(found.rows().where("(id - 1) % 3 = 0").select("id"))
+    return spark.createDataFrame([(found.count(),)], "n long")
 
 
 def insert_then_knn(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embeddings(spark, sf).select("id", "vector")
-    more = rows.where("id % 9 = 0").select((F.col("id") + 1_000_000).alias("id"), F.transform("vector", lambda x: x * F.lit(0.5).cast("float")).alias("vector"))
-    return _rounded(knn.nearest(rows.unionByName(more), query_vector(spark, sf), K))
+    found = _collection(spark, sf)
+    more = found.rows().where("(id - 1) % 9 = 0").select((F.col("id") + 1_000_000).alias("id"), F.transform("vector", lambda x: x * F.lit(0.5).cast("float")).alias("vector"))
+    found.insert(more)
+    return _rounded(_outer(found.search(query_vector(spark, sf), K)))
 
 
 def insert_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    new = embeddings(spark, sf).select((F.col("id") * 5).alias("id"))
-    return new.join(embeddings(spark, sf).select("id"), "id", "left_semi")
+    """What an insert would refuse."""
+    return _outer(_collection(spark, sf).conflicts(embeddings(spark, sf).select((F.col("id") * 5 + 1).alias("id"))))
 
 
 def delete_then_knn(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embeddings(spark, sf)
-    gone = rows.where("id % 4 = 0 AND id > 0").select("id")
-    return _rounded(knn.nearest(rows.join(gone, "id", "left_anti"), query_vector(spark, sf), K))
+    found = _collection(spark, sf)
+    found.delete(found.rows().where("(id - 1) % 4 = 0 AND id > 1").select("id"))
+    return _rounded(_outer(found.search(query_vector(spark, sf), K)))
 
 
 def delete_then_reinsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of sequence 1, tombstones of sequence 2, some rows again with sequence 3: what lives, with its sequence."""
-    first = embeddings(spark, sf).select("id", F.lit(1).cast("long").alias("seq"))
-    again = first.where("id % 4 = 0").select("id", F.lit(3).cast("long").alias("seq"))
-    dead = first.where("id % 2 = 0").select(F.col("id").alias("dead_id"), F.lit(2).cast("long").alias("dead_seq"))
-    return first.unionByName(again).join(dead, (F.col("id") == F.col("dead_id")) & (F.col("seq") < F.col("dead_seq")), "left_anti")
+    """Inserted by change 1, deleted by change 2, some again by change 3: what lives, and by which change."""
+    found = _collection(spark, sf)
+    rows = found.rows()
+    found.delete(rows.where("(id - 1) % 2 = 0").select("id"))
+    found.insert(rows.where("(id - 1) % 4 = 0"))
+    return _outer(found.rows(seq=True)).select("id", "seq")
 
 
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,17 +202,44 @@ def keymap_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keymap_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _keys(spark, sf).agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("greatest"))
+    return keymap.summary(_keys(spark, sf))
+
+
+def keymap_contains(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _keys(spark, sf)
+    return spark.createDataFrame([(k, keymap.contains(rows, k)) for k in (1, 1234, -5)], "key long, found boolean")
+
+
+def _stored_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved, loaded, changed, saved and loaded again."""
+    folder = work_folder(spark)
+    paths = [f"{folder}/{Store(spark, folder).new_name('map')}" for _ in range(2)]
+    for path in paths:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    keymap.save(_keys(spark, sf), paths[0])
+    held = keymap.load(spark, paths[0])
+    held = keymap.upsert(held, held.where("key % 5 = 0").select("key", (F.col("value") + 1).alias("value")))
+    keymap.save(keymap.remove(held, held.where("key % 7 = 0")), paths[1])
+    return keymap.load(spark, paths[1])
+
+
+def keymap_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored_map(spark, sf)
+
+
+def keymap_stored_range(spark: SparkSession, sf: str) -> DataFrame:
+    return keymap.range_query(_stored_map(spark, sf), 100, 900)
+
+
+def keymap_stored_find(spark: SparkSession, sf: str) -> DataFrame:
+    return keymap.find(_stored_map(spark, sf), 1235)
 
 
 def _collection(spark: SparkSession, sf: str, index: Index = Index.FLAT, promote: Sequence[tuple[str, str]] = ()):
     """A fresh collection of the embeddings, ids from 1, in the folder that the session shares."""
-    from .config import OpenMode
-    from .sources.collection import Collection
-    from .sources.store import Store
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
-    path = f"{folder.rstrip('/')}/{Store(spark, folder).new_name('collection')}"
+    folder = work_folder(spark)
+    path = f"{folder}/{Store(spark, folder).new_name('collection')}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = Collection.open(spark, path, OpenMode.READWRITE | OpenMode.CREATE, Config(64, index=index), promote)
@@ -223,7 +274,19 @@ def compact_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dump_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    return with_metadata(spark, sf).orderBy("id").select("id", "metadata")
+    return _outer(_collection(spark, sf).dump()).select("id", "metadata")
+
+
+def search_batch_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Many queries with one filter, through the collection."""
+    found = _collection(spark, sf, promote=[("lang", "string")])
+    return _rounded(_outer(found.search_batch(_asked(embeddings(spark, sf)), K, filter="NOT lang = 'en'")))
+
+
+def promoted_text_and_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A number asked of a field promoted as text, and a text of one promoted as a number, answer as the JSON does."""
+    found = _collection(spark, sf, promote=[("n_chars", "double"), ("lang", "string")])
+    return _outer(found.search(query_vector(spark, sf), K, "NOT lang = 3 AND (n_chars = '16' OR n_chars > 500)")).select("id", "rank")
 
 
 def _hnsw_config() -> Config:
@@ -231,26 +294,34 @@ def _hnsw_config() -> Config:
 
 
 def knn_hnsw(spark: SparkSession, sf: str) -> DataFrame:
-    """Approximate batch search over the graphs: the distances are exact, the set nearly so."""
+    """Approximate batch search over the graphs: the distances are exact, the set nearly so (all of it at small sizes)."""
     rows = embeddings(spark, sf)
-    nodes = hnsw.build(rows, _hnsw_config())
-    return _rounded(hnsw.search(nodes, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), K, _hnsw_config()))
+    return _rounded(hnsw.search(hnsw.build(rows, _hnsw_config()), _asked(rows), K, _hnsw_config()))
 
 
 def hnsw_checkpoint_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Indexed, some deleted, compacted and searched from the stored graphs."""
+    """Indexed and stored, then some deleted: searched from the stored graphs, in which they are marked."""
+    found = _collection(spark, sf, Index.HNSW)
+    found.compact()
+    found.delete(found.rows().where("id % 7 = 0").select("id"))
+    return _rounded(_outer(found.search_batch(_asked(embeddings(spark, sf)), K)))
+
+
+def hnsw_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Some deleted, then compacted: searched from graphs that never held them, with one row inserted later beside them."""
     found = _collection(spark, sf, Index.HNSW)
     found.delete(found.rows().where("id % 7 = 0").select("id"))
     found.compact()
-    queries = embeddings(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
-    return _rounded(found.search_batch(queries, K))
+    found.insert_one(1_000_000, query_vector(spark, sf))
+    return _rounded(_outer(found.search_batch(_asked(embeddings(spark, sf)), K)))
 
 
 def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether at least 0.95 of the exact results are found."""
     rows = embeddings(spark, sf)
-    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
-    exact = knn.nearest_blocks(rows, queries, K)
-    return hnsw.recall(hnsw.search(hnsw.build(rows, _hnsw_config()), queries, K, _hnsw_config()), exact)
+    exact = knn.nearest_batch(rows, _asked(rows), K)
+    found = hnsw.recall(hnsw.search(hnsw.build(rows, _hnsw_config()), _asked(rows), K, _hnsw_config()), exact)
+    return found.select((F.col("recall") >= 0.95).alias("enough"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -269,6 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_batch_blocks_l2": knn_batch_blocks(Metric.L2),
     "knn_batch_blocks_cosine": knn_batch_blocks(Metric.COSINE),
     "knn_batch_blocks_ip": knn_batch_blocks(Metric.IP),
+    "knn_batch_filtered": knn_batch_filtered,
     "knn_filtered_eq": _filtered("lang = 'en'"),
     "knn_filtered_and_or_not": _filtered("NOT (lang = 'de' OR lang = 'fr') AND n_chars >= 500.5"),
     "knn_filtered_missing_field": _filtered("NOT deleted AND (year < 3 OR n_chars < 2000)"),
@@ -286,13 +358,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keymap_remove": keymap_remove,
     "keymap_range": keymap_range,
     "keymap_count": keymap_count,
+    "keymap_contains": keymap_contains,
+    "keymap_stored": keymap_stored,
+    "keymap_stored_range": keymap_stored_range,
+    "keymap_stored_find": keymap_stored_find,
     "collection_cycle": collection_cycle,
     "collection_search_filtered": collection_search_filtered,
     "compact_rows": compact_rows,
     "info": info,
     "dump_ordered": dump_ordered,
+    "search_batch_filtered": search_batch_filtered,
+    "promoted_text_and_numbers": promoted_text_and_numbers,
     "knn_hnsw": knn_hnsw,
     "hnsw_checkpoint_roundtrip": hnsw_checkpoint_roundtrip,
+    "hnsw_compacted": hnsw_compacted,
     "hnsw_recall": hnsw_recall,
 }
 
@@ -316,10 +395,10 @@ def _sql_knn(rows: str, metric: Metric = Metric.L2, where: str = "true", k: int
 FROM (SELECT id, {_sql_distance(metric)} AS d FROM {rows}, {query} WHERE {where} ORDER BY d, id LIMIT {k})"""
 
 
-def _sql_batch(metric: Metric = Metric.L2) -> str:
+def _sql_batch(metric: Metric = Metric.L2, base: str = "", where: str = "true") -> str:
     return f"""SELECT query_id, rank::INT AS rank, id, round(d, 6) + 0.0 AS distance FROM (
 SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank
-FROM (SELECT b.id, a.id AS query_id, {_sql_distance(metric, 'b.v', 'a.v')} AS d FROM {_E} a, {_E} b WHERE a.id % 50 = 0))
+FROM (SELECT b.id, a.id AS query_id, {_sql_distance(metric, 'b.v', 'a.v')} AS d FROM {_E} a, {base or _E} b WHERE a.id % 50 = 0 AND {where}))
 WHERE rank <= {K}"""
 
 
@@ -327,16 +406,25 @@ _ZERO = "(SELECT list_transform(range(64), lambda i: 0.0::DOUBLE) AS q)"
 _JSON = "'{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\",\"n_chars\":' || n_chars || '}'"
 _NUMBER = "try_cast(json_extract_string(props, '$.k') AS DOUBLE)"
 
+_MAP = "SELECT o_orderkey AS key, o_custkey + (o_orderkey % 5 = 0)::INT AS value FROM orders WHERE o_orderkey % 7 <> 0"
+
 ORACLE_SQL: dict[str, str] = {
     **{f"knn_{m.value}": _sql_knn(_E, m) for m in Metric},
     **{f"knn_rescaled_{m.value}": _sql_knn(_SCALED, m) for m in Metric},
     **{f"knn_batch_blocks_{m.value}": _sql_batch(m) for m in Metric},
-    "distance_pairs": f"SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'round({_sql_distance(m, "a.v", "b.v")}, 6) + 0.0 AS {m.value}' for m in Metric)} FROM {_E} a, {_E} b WHERE a.id < 20 AND b.id < 20 AND a.id <= b.id",
+    "distance_pairs": f"SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'round({_sql_distance(m, "a.v", "b.v")}, 6) + 0.0 AS {m.value}' for m in Metric)} FROM {_E} a, {_E} b WHERE a.id < 3",
     "sql_functions": f"SELECT a.id, {', '.join(f'round({_sql_distance(m, "a.v", "b.v")}, 6) + 0.0 AS {m.value}' for m in Metric)} FROM {_E} a JOIN {_E} b ON b.id = a.id + 1",
     "cosine_zero_norm": _sql_knn(_E, Metric.COSINE, query=_ZERO),
     "zero_inner_product": _sql_knn(_E, Metric.IP, query=_ZERO),
     "knn_k_gt_n": _sql_knn(_E, where="label = 3", k=1000),
     "knn_batch": _sql_batch(),
+    "knn_batch_filtered": _sql_batch(base=_META, where="NOT coalesce(lang = 'en', false)"),
+    "search_batch_filtered": _sql_batch(base=_META, where="NOT coalesce(lang = 'en', false)"),
+    "knn_hnsw": _sql_batch(),
+    "hnsw_checkpoint_roundtrip": _sql_batch(where="(b.id + 1) % 7 <> 0"),
+    "hnsw_compacted": _sql_batch(base=f"(SELECT id, v FROM {_E} WHERE (id + 1) % 7 <> 0 UNION ALL SELECT 999999, embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"),
+    "hnsw_recall": "SELECT true AS enough",
+    "promoted_text_and_numbers": f"SELECT id, rank FROM ({_sql_knn(_META, where='coalesce(n_chars = 16 OR n_chars > 500, false)')})",
     "knn_filtered_eq": _sql_knn(_META, where="coalesce(lang = 'en', false)"),
     "knn_filtered_and_or_not": _sql_knn(_META, where="NOT (coalesce(lang = 'de', false) OR coalesce(lang = 'fr', false)) AND coalesce(n_chars >= 500.5, false)"),
     "knn_filtered_missing_field": _sql_knn(_META, where="coalesce(n_chars < 2000, false)"),
@@ -354,6 +442,10 @@ SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey NOT IN
     "keymap_find": "SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey = 1234",
     "keymap_remove": "SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey % 3 <> 1",
     "keymap_range": "SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
+    "keymap_contains": "SELECT key, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = key) AS found FROM (SELECT unnest([1, 1234, -5])::BIGINT AS key)",
+    "keymap_stored": _MAP,
+    "keymap_stored_range": f"SELECT * FROM ({_MAP}) WHERE key BETWEEN 100 AND 900",
+    "keymap_stored_find": f"SELECT * FROM ({_MAP}) WHERE key = 1235",
     "keymap_count": "SELECT count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS greatest FROM orders",
     "collection_cycle": "SELECT vec_id + 1 AS id, lang FROM embeddings LEFT JOIN documents ON vec_id = doc_id WHERE (vec_id + 1) % 5 <> 0 UNION ALL SELECT 5, 'xx'",
     "collection_search_filtered": _sql_knn("(SELECT vec_id + 1 AS id, embedding::DOUBLE[] AS v, lang, n_chars FROM embeddings JOIN documents ON vec_id = doc_id)", where="lang = 'en' AND n_chars >= 1000"),

@@ -12,13 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import __version__
 from ..config import Config, Index, OpenMode
 from ..errors import AlreadyExists, InvalidArgument, NotFound
 from ..functions.distance import squared_norm
 from ..operators import hnsw
-from ..plans.executor import KnnQuery, execute
+from ..plans.executor import KnnQuery, Source, execute, execute_batch
 from .store import Store
 
 COLUMNS = "id long, vector array<float>, metadata string, norm double, seq long"
@@ -92,8 +93,8 @@ class Collection:
 
     # rows
 
-    def _promoted(self) -> dict[str, Column]:
-        return {f: F.col(f"`p_{f}`") for f, _ in self._state["promoted"]}
+    def _promoted(self) -> dict[str, tuple[Column, str]]:
+        return {f: (F.col(f"`p_{f}`"), t.lower()) for f, t in self._state["promoted"]}
 
     def _schema(self) -> str:
         return ", ".join([COLUMNS, *(f"`p_{f}` {t}" for f, t in self._state["promoted"])])
@@ -115,10 +116,15 @@ class Collection:
         dead = self._read([t["name"] for t in self._state["tombstones"]], "id long, seq long")
         return dead.groupBy(F.col("id").alias("dead_id")).agg(F.max("seq").alias("dead_seq"))
 
-    def rows(self) -> DataFrame:
-        """(id, vector, metadata) of the live rows."""
+    def rows(self, seq: bool = False) -> DataFrame:
+        """(id, vector, metadata) of the live rows, and the number of the change that brought each if asked for."""
         self._usable()
-        return self._live().select("id", "vector", "metadata")
+        return self._live().select("id", "vector", "metadata", *(["seq"] if seq else []))
+
+    def conflicts(self, df: DataFrame, id_: str = "id") -> DataFrame:
+        """The ids of ``df`` that are live already, which ``insert`` would refuse."""
+        self._usable()
+        return df.select(F.col(id_).cast("long").alias("id")).join(self._live().select("id"), "id", "left_semi")
 
     # changes
 
@@ -154,7 +160,7 @@ class Collection:
         if twice is not None:
             raise AlreadyExists(f"id {twice.id} is given twice")
         if self._state["segments"]:
-            there = new.select("id").join(self._live().select("id"), "id", "left_semi").first()
+            there = self.conflicts(new).first()
             if there is not None:
                 raise AlreadyExists(f"id {there.id}")
 
@@ -191,6 +197,7 @@ class Collection:
         self._commit(seq=seq, segments=segments, tombstones=[], index=index)
         for x in old:
             self.store.delete(x)
+        self.store.prune()
 
     def _build_index(self, rows: DataFrame, seq: int) -> dict:
         name = self.store.new_name("index")
@@ -216,26 +223,22 @@ class Collection:
         self._usable()
         return execute(KnnQuery(tuple(map(float, query)), k, ef, filter), self.source())
 
-    def search_batch(self, queries: DataFrame, k: int, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
-        """(query_id, rank, id, distance) for each row of ``queries``."""
-        from ..plans.executor import execute_batch
-
+    def search_batch(self, queries: DataFrame, k: int, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector", filter: str | None = None) -> DataFrame:  # noqa: A002
+        """(query_id, rank, id, distance) for each row of ``queries``, among the live rows that the filter keeps."""
         self._usable()
-        return execute_batch(queries, k, ef, self.source(), query_id, query_vector)
+        return execute_batch(queries, k, ef, self.source(), query_id, query_vector, filter)
 
-    def source(self):
+    def source(self) -> Source:
         """What the planner reads from."""
-        from ..plans.executor import Source
-
         index = self._state["index"]
-        nodes = None
+        shards = None
         if index is not None:
-            nodes = self.spark.read.schema(hnsw.NODES).parquet(f"{self.store.path}/{index['name']}").select("shard", "node", "id", "level", "deleted", "vec", "neighbors")
-            gone = self._tombstones()
-            if gone is not None:
-                later = gone.where(F.col("dead_seq") > index["seq"]).select(F.col("dead_id").alias("id"))
-                nodes = hnsw.remove(nodes, later)
-        return Source(self.config, self._live(), nodes, self._live(index["seq"]) if index else None, self._promoted())
+            names = [f.name for f in T._parse_datatype_string(hnsw.SHARDS)]
+            shards = self.spark.read.schema(hnsw.SHARDS).parquet(f"{self.store.path}/{index['name']}").select(names)
+            if any(t["seq"] > index["seq"] for t in self._state["tombstones"]):
+                later = self._tombstones().where(F.col("dead_seq") > index["seq"]).select(F.col("dead_id").alias("id"))
+                shards = hnsw.remove(shards, later)
+        return Source(self.config, self._live(), shards, self._live(index["seq"]) if index else None, self._promoted())
 
     def get(self, id_: int) -> Row | None:
         """(id, vector, metadata), or None."""

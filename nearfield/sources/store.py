@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import Corrupt, Locked, NotFound, WrongVersion
+from ..errors import Corrupt, InvalidArgument, Locked, NotFound, WrongVersion
 
 FORMAT = 1
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where none is named, a local session has one of its own; a cluster has none, as its machines share no local folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.nearfield.folder", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise InvalidArgument("spark.checkpoint.dir must name a folder that the cluster shares")
+        folder = f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
+        spark.conf.set("spark.nearfield.folder", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again; the files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Manifest n is the file ``manifest-n.json``; the greatest n is the collection's state.
 
-    A new state is one file made under another name and renamed, so a reader sees the old state or the new one, and of two
-    writers one fails.  Data directories are written before the manifest that names them.
+    A new state is one file made under another name and renamed, so a reader sees the old state or the new one.  Where a
+    file system's rename refuses an existing target, as HDFS does, of two writers one fails; on a local disk or an object
+    store there must be one writer at a time.  Data directories are written before the manifest that names them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -66,6 +93,11 @@ class Store:
             self._fs.delete(made, False)
             raise Locked("another writer has been faster")
 
+    def prune(self) -> None:
+        """Delete all manifests but the latest."""
+        for version in self.versions()[:-1]:
+            self._fs.delete(self._at(f"manifest-{version:08d}.json"), False)
+
     def new_name(self, kind: str) -> str:
         return f"{kind}-{uuid.uuid4().hex}"
 

@@ -154,3 +154,51 @@ def test_streams(spark, path, tmp_path):
     stream = spark.readStream.schema("op string, id long, vector array<float>, metadata string").parquet(str(tmp_path / "changes"))
     apply_changes(stream, c, str(tmp_path / "check2")).awaitTermination()
     assert sorted(r.id for r in c.rows().collect()) == [2, 3, 4, 5, 8] and c.get(2).vector == [9.0, 9.0]
+
+
+def test_ordered_changes(spark, path, tmp_path):
+    c = Collection.open(spark, path, NEW, Config(2))
+    kind = "op string, id long, vector array<float>, metadata string, order long"
+    given = [("put", 1, [1.0, 0.0], None, 1), ("put", 1, [2.0, 0.0], None, 3), ("put", 1, [3.0, 0.0], None, 2), ("put", 2, [1.0, 1.0], None, 5), ("delete", 2, None, None, 6), ("delete", 3, None, None, 1), ("put", 3, [9.0, 9.0], None, 2)]
+    spark.createDataFrame(given, kind).write.parquet(str(tmp_path / "changes"))
+    apply_changes(spark.readStream.schema(kind).parquet(str(tmp_path / "changes")), c, str(tmp_path / "check")).awaitTermination()
+    assert {r.id: r.vector for r in c.rows().collect()} == {1: [2.0, 0.0], 3: [9.0, 9.0]}
+    bare = kind.removesuffix(", order long")
+    spark.createDataFrame([x[:4] for x in given], bare).write.parquet(str(tmp_path / "bare"))
+    with pytest.raises(Exception, match="changes twice"):
+        apply_changes(spark.readStream.schema(bare).parquet(str(tmp_path / "bare")), c, str(tmp_path / "check2")).awaitTermination()
+
+
+def test_promoted_fields_answer_as_the_text_does(spark, path):
+    c = Collection.open(spark, path, NEW, Config(2), promote=[("n", "double"), ("t", "string"), ("b", "boolean")])
+    c.insert(rows(spark, [(1, (1, 0), '{"n": 5, "t": "x", "b": true}'), (2, (2, 0), '{"n": "5", "t": "7", "b": "true"}'), (3, (3, 0), '{"n": "z", "t": 7.5, "b": 1}'), (4, (4, 0), None)]))
+    plain = Collection.open(spark, path + "2", NEW, Config(2))
+    plain.insert(c.rows())
+    for text in ("t > 7", "t = 3", "NOT t = 3", "n = '5'", "n = 5", "n >= 4 AND NOT t < 7.2", "b", "b = true", "NOT b", "b = 1", "n = true", "t = '7'"):
+        assert ids(c.search((0, 0), 9, text)) == ids(plain.search((0, 0), 9, text)), text
+
+
+def test_batch_search_with_a_filter(spark, path):
+    c = made(spark, path, Index.HNSW)
+    c.build_index()
+    asked = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, vector array<float>")
+    assert [r.id for r in c.search_batch(asked, 2, filter="NOT odd AND n > 4").orderBy("rank").collect()] == [6, 8]
+
+
+def test_old_manifests_go(spark, path, tmp_path):
+    c = made(spark, path)
+    c.delete([1])
+    c.compact()
+    assert len([x for x in (tmp_path / "c").iterdir() if x.name.startswith("manifest")]) == 1 and Collection.open(spark, path).count() == 19
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from nearfield.sources.store import work_folder
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://h:7077"):
+        with pytest.raises(E.InvalidArgument):
+            work_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert work_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")

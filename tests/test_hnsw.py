@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.config import Config
+from nearfield.errors import InvalidArgument
 from nearfield.functions.distance import exact_distances
 from nearfield.operators import hnsw
-from nearfield.operators.knn import nearest_blocks
+from nearfield.operators.knn import nearest_batch
 
 
 def graph(vectors, ids=None, **options):
@@ -53,20 +54,51 @@ def test_deleted_nodes_lead_on():
     assert len(ids) == 20 and all(i % 10 == 0 for i in ids)
 
 
-def test_rows_round_trip_and_empty():
+def test_packed_round_trip_and_empty():
     g = graph(np.random.default_rng(4).normal(size=(60, 4)), m=4)
-    table = g.rows(0)
-    assert pa.types.is_list(table.schema.field("neighbors").type)
-    again = hnsw.Graph.of_rows(table, g.config)
+    again = hnsw.Graph.unpacked(g.packed(0, 1), g.config)
     q = np.ones(4, np.float32)
     assert again.search(q, 5, 100)[0].tolist() == g.search(q, 5, 100)[0].tolist()
-    assert len(graph(np.zeros((0, 3))).search(np.zeros(3), 5, 100)[0]) == 0
+    empty = graph(np.zeros((0, 3)))
+    assert len(empty.search(np.zeros(3), 5, 100)[0]) == 0
+    assert len(hnsw.Graph.unpacked(empty.packed(0, 1), empty.config).search(np.zeros(3), 5, 100)[0]) == 0
 
 
 def test_degrees_are_bounded():
     g = graph(np.random.default_rng(5).normal(size=(300, 3)), m=4)
-    assert max(map(len, g.links[0].values())) <= 8
-    assert all(len(x) <= 4 for level in g.links[1:] for x in level.values())
+    assert len(g.links) > 2 and g.links[0].shape == (300, 8) and all(x.shape[1] == 4 for x in g.links[1:])
+
+
+def slow_links(vectors, levels, m, metric):
+    """Inserting node by node: the nearest m before it, links back, the nearest of each node's links kept."""
+    out = []
+    for level in range(max(levels) + 1):
+        own = [i for i, x in enumerate(levels) if x >= level]
+        links = {i: set() for i in own}
+        cap = m * (1 if level else 2)
+        near = lambda i, some: sorted(some, key=lambda j: (float(exact_distances(vectors[i], vectors[j : j + 1], metric)[0]), j))
+        for n, i in enumerate(own):
+            links[i] = set(near(i, own[:n])[:m])
+            for j in links[i]:
+                links[j] = set(near(j, links[j] | {i})[:cap])
+        out.append(links)
+    return out
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_links_are_those_of_one_by_one_insertion(metric):
+    v = np.random.default_rng(8).normal(size=(130, 5)).astype(np.float32)
+    g = graph(v, m=3, metric=metric)
+    for level, want in enumerate(slow_links(v, g.levels.tolist(), 3, metric)):
+        got = {int(i): {int(x) for x in row if x >= 0} for i, row in zip(g.members[level], g.links[level], strict=True)}
+        assert got == want
+
+
+def test_tiles_do_not_show(monkeypatch):
+    v = np.random.default_rng(9).normal(size=(500, 5)).astype(np.float32)
+    one = graph(v).links
+    monkeypatch.setattr(hnsw, "_TILE", 16)
+    assert all((a == b).all() for a, b in zip(one, graph(v).links, strict=True))
 
 
 def test_shards_and_storage(spark, tmp_path):
@@ -75,10 +107,27 @@ def test_shards_and_storage(spark, tmp_path):
     config = Config(8, shard_rows=200)
     queries = rows.where("id % 60 = 0").select(F.col("id").alias("query_id"), "vector")
     hnsw.build(rows, config).write.partitionBy("shard").parquet(str(tmp_path / "nodes"))
-    nodes = spark.read.schema(hnsw.NODES).parquet(str(tmp_path / "nodes"))
-    assert nodes.select("shard").distinct().count() == 3 and hnsw.count(nodes) == 600
+    nodes = spark.read.schema(hnsw.SHARDS).parquet(str(tmp_path / "nodes")).select("shard", "shards", "ids", "levels", "vectors", "links", "deleted")
+    assert nodes.count() == 3 and hnsw.count(nodes) == 600
+    each = hnsw.nodes(nodes, config)
+    assert each.count() == 600 and each.where("size(neighbors) <> level + 1 or exists(neighbors[0], x -> x < 0)").count() == 0
     found = hnsw.search(nodes, queries, 10, config)
-    assert hnsw.recall(found, nearest_blocks(rows, queries, 10)).first().recall >= 0.95
+    assert "Exchange" not in hnsw.search(nodes, queries, 10, config)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1]
+    assert hnsw.recall(found, nearest_batch(rows, queries, 10)).first().recall >= 0.95
     fewer = hnsw.remove(nodes, rows.where("id % 2 = 0").select("id"))
     assert hnsw.count(fewer) == 300
     assert hnsw.search(fewer, queries, 10, config).where("id % 2 = 0").count() == 0
+
+
+def test_query_blocks_and_text_query_ids(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], "id long, vector array<float>")
+    config = Config(8, shard_rows=100)
+    shards = hnsw.build(rows, config).persist()
+    queries = rows.where("id % 10 = 0").select(F.concat(F.lit("q"), "id").alias("query_id"), "vector")
+    one = sorted(map(tuple, hnsw.search(shards, queries, 3, config).collect()))
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK_BYTES", 200)
+    assert sorted(map(tuple, hnsw.search(shards, queries, 3, config).collect())) == one and len(one) == 90
+    with pytest.raises(InvalidArgument):
+        hnsw.search(shards, queries.withColumn("vector", F.slice("vector", 1, 7)), 3, config)
+    assert hnsw.search(shards, queries.limit(0), 3, config).count() == 0

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.functions.distance import exact_distances
-from nearfield.operators.knn import nearest, nearest_batch, nearest_blocks
+from nearfield.operators.knn import nearest, nearest_batch
 
 
 def table(spark, rows):
@@ -42,15 +42,17 @@ def test_ties_go_to_the_smaller_id(spark):
     rows = table(spark, [(9, (1, 0)), (3, (0, 1)), (5, (-1, 0)), (2**40, (0, -1))])
     assert [i for i, _ in found(nearest(rows, (0, 0), 2))] == [3, 5]
     queries = rows.limit(1).select(F.lit(1).alias("query_id"), F.array(F.lit(0.0), F.lit(0.0)).alias("vector"))
-    assert [r.id for r in nearest_blocks(rows, queries, 3).orderBy("rank").collect()] == [3, 5, 9]
+    assert [r.id for r in nearest_batch(rows, queries, 3).orderBy("rank").collect()] == [3, 5, 9]
 
 
 def test_malformed_vectors_are_never_near(spark):
     rows = table(spark, [(1, (5, 5)), (2, None), (3, (0, 0, 0)), (4, (float("nan"), 0))])
     assert [i for i, _ in found(nearest(rows, (0, 0), 10))] == [1]
     queries = rows.where("id = 1").select(F.lit(7).alias("query_id"), "vector")
-    assert [r.id for r in nearest_blocks(rows, queries, 10).collect()] == [1]
     assert [r.id for r in nearest_batch(rows, queries, 10).collect()] == [1]
+    # so are malformed queries, and each query meets the rows of its own length
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [float("inf"), 0.0]), (4, [1.0, 1.0, 1.0]), (5, [None, 1.0])], "query_id long, vector array<float>")
+    assert [(r.query_id, r.id) for r in nearest_batch(rows, odd, 10).collect()] == [(4, 3)]
 
 
 def test_filter_comes_before_the_cut(spark):
@@ -69,15 +71,48 @@ def test_batches_equal_brute_force(spark, metric):
         d = exact_distances(base[q], base, metric)
         for rank, i in enumerate(np.lexsort((np.arange(300), np.round(d, 12)))[:7], 1):
             expected.add((q, rank, round(float(d[i]), 9)))
-    for df in (nearest_batch(rows, queries, 7, metric), nearest_blocks(rows, queries, 7, metric)):
+    for df in (nearest_batch(rows, queries, 7, metric), nearest_batch(rows, queries, 7, metric, block_bytes=50)):
         assert {(r.query_id, r["rank"], round(r.distance, 9)) for r in df.collect()} == expected
 
 
 def test_blocks_without_queries(spark):
     rows = table(spark, [(1, (5, 5))])
-    assert nearest_blocks(rows, rows.limit(0).select(F.col("id").alias("query_id"), "vector"), 3).count() == 0
+    assert nearest_batch(rows, rows.limit(0).select(F.col("id").alias("query_id"), "vector"), 3).count() == 0
 
 
 def test_top_k_plan_has_no_full_sort(spark):
     df = nearest(table(spark, [(i, (i, 0)) for i in range(20)]), (0, 0), 3)
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_doubles_stay_doubles(spark):
+    rows = spark.createDataFrame([(1, [0.1, 0.0]), (2, [0.1 + 1e-12, 0.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(9, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = nearest_batch(rows, queries, 2).orderBy("rank").collect()
+    assert [(r.id, r.distance) for r in got] == [(1, 0.1 * 0.1), (2, (0.1 + 1e-12) ** 2)]
+
+
+def test_ids_of_any_type_and_null_ids(spark):
+    rows = spark.createDataFrame([("b", [1.0]), ("a", [1.0]), (None, [1.0]), ("é", [0.5])], "id string, vector array<float>")
+    queries = spark.createDataFrame([("x", [0.0]), (None, [1.0])], "query_id string, vector array<float>")
+    got = nearest_batch(rows, queries, 3).collect()
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {("x", 1, "é"), ("x", 2, None), ("x", 3, "a"), (None, 1, None), (None, 2, "a"), (None, 3, "b")}
+
+
+def test_vectors_of_extreme_size(spark):
+    tiny = [(i, [1e-30 * i, 1e-30]) for i in range(1, 9)]
+    huge = [(i + 10, [1e25 * i, 1e25]) for i in range(1, 9)]
+    rows = spark.createDataFrame(tiny + huge + [(99, [0.0, 0.0])], "id long, vector array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [0.0, 1e-30]), (2, [1e25, 1e25])], "query_id long, vector array<float>")
+    for metric in ("l2", "cosine", "ip"):
+        got = {}
+        for r in nearest_batch(rows, queries, 4, metric).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id))
+        for q, vector in ((1, (0.0, np.float32(1e-30))), (2, (np.float32(1e25),) * 2)):
+            assert sorted(got[q]) == [(r["rank"], r.id) for r in nearest(rows, [float(x) for x in vector], 4, metric).orderBy("rank").collect()], metric
+
+
+def test_a_filter_on_batches_comes_first(spark):
+    rows = table(spark, [(i, (i, 0)) for i in range(20)])
+    queries = rows.where("id = 0").select(F.col("id").alias("query_id"), "vector")
+    assert [r.id for r in nearest_batch(rows, queries, 3, where=F.col("id") > 10).orderBy("rank").collect()] == [11, 12, 13]

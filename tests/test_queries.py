@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import DATA, same_as_sql
+from conftest import same_as_sql
 from nearfield.queries import ORACLE_SQL, QUERIES
 
 
@@ -14,8 +14,3 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     same_as_sql(spark, QUERIES[name], ORACLE_SQL[name])
-
-
-def test_graph_queries(spark):
-    assert QUERIES["hnsw_recall"](spark, str(DATA)).first().recall >= 0.95
-    assert QUERIES["hnsw_checkpoint_roundtrip"](spark, str(DATA)).where("id % 7 = 0").count() == 0
