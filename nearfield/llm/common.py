@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored, work_folder
+
 #: A word is a run of characters other than these six (space, \t, \n, \v, \f, \r).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_BREAK_BYTES = (9, 10, 11, 12, 13, 32)
@@ -22,29 +22,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    folder = spark.conf.get("spark.nearfield.folder", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
-        spark.conf.set("spark.nearfield.folder", folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and gives Spark the true size.
-
-    The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+shared_folder, written = work_folder, stored
 
 
 def drop_written(df: DataFrame) -> None:
@@ -65,7 +43,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  one table per worker
+def powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  one table per worker
     have = cache.get("n", 0)
     if have < n:
         size = max(n, CHUNK_BYTES + 64)
@@ -154,7 +132,7 @@ class Words:
                 base = int(self.starts[at])
                 to = max(at + 1, int(np.searchsorted(self.ends, base + CHUNK_BYTES, "right")))
                 starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
-                up, down = _powers(int(ends[-1]) + 1)
+                up, down = powers(int(ends[-1]) + 1)
                 sums = np.zeros(int(ends[-1]) + 1, np.uint64)
                 np.cumsum(values[self.data[base : base + int(ends[-1])]] * up[: int(ends[-1])], out=sums[1:])
                 hashed = (sums[ends] - sums[starts]) * down[starts]
