@@ -186,6 +186,7 @@ def test_extraction(spark):
     by = {r.page_id: r.text for r in got}
     assert all(by[i] == TEXT for i in range(5))
     assert by[10] == by[11] == by[14] == "" and by[15] == ("long " * 50_000).strip()
+    assert by[12] == "loose" and by[13] == "plain < text"
     assert html.extract(df.limit(0)).count() == 0
 
 
@@ -198,6 +199,99 @@ def test_slug_ids_are_no_boilerplate(outer):
     assert html.text_at(page, paths) == "\n".join(["Title", *(t for x in slugs for t in (f"Head {x}", f"Text of {x}"))])
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><p>Hello world this is text</p></html>", "Hello world this is text"),
+        ("<p>Hello <b>world</b></p>", "Hello world"),
+        ("plain text", "plain text"),
+        ("<body><div><p don't>One</p><p>Two</p><p>isn't it</p></div></body>", "One\nTwo\nisn't it"),
+        ("<div class='form-of-art'><p>" + "On the form of art. " * 20 + "</p></div>", ("On the form of art. " * 20).strip()),
+        ("<article><p>One</p><div class=share><p>" + "A share of the whole is what it is about. " * 5 + "</p></div><div class=share><a>Tweet</a></div></article>", "One\n" + ("A share of the whole is what it is about. " * 5).strip()),
+        ("<body><div class=cookie-notice>Cookies</div><div class='sidebar left'>Also</div><div class=main-nav>Nav</div><div class=x><p>Text &lt;b&gt;&#x41;</p></div></body>", "Text <b>A"),
+        ("<div class=a><p title='a > b'>One<!-- <p>no</p> --> two<![CDATA[ no ]]> three", "One two three"),
+        ("<p>One</p><!-- unclosed <p>Two</p>", "One"),
+        ("<p>One</p><a href='x", "One"),
+        ("<p>a < b and <3</p></></ x><p>c<?php echo?></p>", "a < b and <3\nc"),
+        ("<p style='display: none'>no</p><p hidden>no</p><p>One</p>", "One"),
+        ("<table><tr><td>One<td>Two<tr><td>Three</table><ul><li>a<li>b</ul><dl><dt>t<dd>d</dl>", "One\nTwo\nThree\na\nb\nt\nd"),
+    ],
+)
+def test_odd_pages(page, text):
+    assert html.text_at(page, []) == text
+
+
+def test_a_wrapper_keeps_its_heading_and_lead_however_long_the_body():
+    for n in (5, 20, 3000):
+        page = f"<body><div class=menu-main>Menu</div><div class=post><h1>Head</h1><p>Lead</p><div class=content><p>{'Long body. ' * n}</p></div></div><div class=rail>Rail</div></body>"
+        assert html.text_at(page, []).split("\n")[:2] == ["Head", "Lead"] and "Rail" not in html.text_at(page, [])
+        page = f"<body><div class=post><section><p>{'Long body. ' * n}</p></section><section><p>End</p></section></div><p>Foot</p></body>"
+        assert html.text_at(page, []).split("\n")[1:] == ["End"]
+
+
+def test_pages_are_read_in_proportion_to_their_length():
+    import time
+    import tracemalloc
+
+    n = 1 << 18
+    for page in ("<a '" * n, "<p '>x" * n, "<a b='" * n, "<![CDATA[" * n, "<!--" * n, "</b" * n, "<i><p>" + "<b>" * n + "</i>" * n, "<" * n, "<div " + " " * n + "=" * n, "<script>" * n, "<div class=share>" * 50_000 + "x"):
+        started = time.process_time()
+        html.text_at(page, [])
+        assert time.process_time() - started < 8, page[:20]
+    tracemalloc.start()
+    assert html.text_at("<div class='a b'>" * 50_000 + "deep", []) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def slow_text(page, path):
+    """The article by the standard library's parser: texts under the tags of the path, block by block."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out, self.parts = [], [], []
+
+        def cut(self):
+            if text := " ".join("".join(self.parts).split()):
+                self.out.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            self.cut()
+            self.stack.append(".".join([tag, *re.sub(r"\d+", "#", dict(attrs).get("class", "")).split()]))
+
+        def handle_endtag(self, tag):
+            self.cut()
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if ">".join(self.stack).startswith(path):
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n".join(reader.out)
+
+
+def test_votes_decide_where_a_page_would_choose_otherwise(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma &amp; delta"]) for _ in range(n))
+    rows, want = [], {}
+    for host, name in (("a.com", "story"), ("b.com", "text")):
+        for i in range(30):
+            odd = i % 6 == 0  # a short text beside a long column of another kind
+            body = f"<p>{text(5 if odd else 80)}</p><p>{text(4)}</p>"
+            rail = f"<div class='extra{i}'><p>{text(150 if odd else 6)}</p></div>"
+            page = f"<html><body>{rail if i % 2 else ''}<div class='{name}'>{body}</div>{'' if i % 2 else rail}</body></html>"
+            rows.append((len(rows), f"http://{host}/{i}", page))
+            want[rows[-1][0]] = slow_text(page, f"html>body>div.{name}")
+            assert (html.best_path(page)[0] != f"html>body>div.{name}") == odd
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+
+
 def test_hosts_vote(spark):
     page = "<html><body><div class='main%d'><p>{}</p></div><div class='rail'><p>{}</p></div></body></html>"
     many = [(i, "http://h.com", (page % i).format("main text " * 9, "rail " * 2)) for i in range(9)]
