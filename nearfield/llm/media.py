@@ -1,13 +1,15 @@
-"""Media columns: telephony audio kept as 8-bit companded WAV files, with resampled PCM beside it.
+"""Media columns: telephony audio kept as WAV files of companded or ADPCM samples, with resampled PCM beside it.
 
-A payload is a byte string whose bytes are G.711 mu-law codes at 8 kHz.  ``store`` wraps it losslessly into a WAV file of
-format 7 (mu-law); ``load`` parses the file and gives the very bytes back.  The sample tables are computed from the
-G.711 formulas, and expanding is one table look-up a sample.  The same bytes can be read as A-law, or as IMA-ADPCM blocks
-of ``BLOCK_BYTES``, which are decoded with one numpy step for all blocks of a chunk at each of a block's positions.
-Expanded PCM is resampled to 16 kHz by linear interpolation within its recording.
+A payload is a byte string of samples at 8 kHz: G.711 mu-law or A-law codes, or IMA-ADPCM blocks of ``BLOCK_BYTES``.
+``store`` wraps it losslessly into a WAV file of the codec's format (7, 6 or 17); ``load`` parses the file and gives the
+very bytes back, and the samples that they stand for, resampled to 16 kHz by linear interpolation within the recording.
+Expanding a companded sample is a look-up in a table computed from the G.711 formulas; ADPCM blocks are decoded with one
+numpy step for all blocks of a chunk at each of a block's positions.
 
 Nulls are empty payloads: they become one padded unit.  Texts of any length are kept whole; equal payloads give equal
-files, PCM and features; repeated rows give repeated results; other columns are carried as they are.
+files, PCM and features, so ties and repeated rows give repeated results; an empty table gives an empty result; other
+columns are carried as they are, and those named like results are replaced.  A file that is cut off, has no samples or
+another format is an error.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ ADPCM_CHANGE, ADPCM_NEXT = _adpcm_tables()
 
 
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
-    """(n, 65) samples of (n, 36) bytes: a block has its first sample, its index (clipped), a zero, then low nibble first."""
+    """(n, 1 + 2 * (bytes - 4)) samples of blocks: each has its first sample, its index (clipped), a zero, then low nibble first."""
     sample = blocks[:, 0].astype(np.int32) | (blocks[:, 1].astype(np.int32) << 8)
     sample = np.where(sample > 32767, sample - 65536, sample).astype(np.int32)
     row = np.minimum(blocks[:, 2], len(STEPS) - 1).astype(np.int32) * 16
@@ -87,43 +89,77 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate by linear interpolation; the last sample is held."""
+def resample_double(pcm: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Twice the rate by linear interpolation; the last sample of each recording, which begin at ``starts``, is held."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
     if len(pcm):
         out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        out[-1] = pcm[-1]
+        ends = np.concatenate((np.zeros(0, np.int64) if starts is None else starts[1:], [len(pcm)])) - 1
+        out[2 * ends + 1] = pcm[ends]
     return out
 
 
-def wav_header(n: int) -> bytes:
-    """Of a mono 8-bit mu-law file with ``n`` samples (n is even here)."""
-    body = struct.pack("<4sIHHIIHHH4sII4sI", b"fmt ", 18, 7, 1, RATE, RATE, 1, 8, 0, b"fact", 4, n, b"data", n)
+#: The format number of a WAV file for each codec.
+FORMATS = {"mu-law": 7, "a-law": 6, "ima-adpcm": 17}
+
+
+def wav_header(n: int, codec: str = "mu-law") -> bytes:
+    """Of a mono file with ``n`` bytes of samples (n is even here)."""
+    if codec == "ima-adpcm":
+        each = 2 * (BLOCK_BYTES - 4) + 1
+        kind = struct.pack("<HHIIHHHH", FORMATS[codec], 1, RATE, RATE * BLOCK_BYTES // each, BLOCK_BYTES, 4, 2, each)
+        samples = n // BLOCK_BYTES * each
+    else:
+        kind = struct.pack("<HHIIHHH", FORMATS[codec], 1, RATE, RATE, 1, 8, 0)
+        samples = n
+    body = struct.pack("<4sI", b"fmt ", len(kind)) + kind + struct.pack("<4sII4sI", b"fact", 4, samples, b"data", n)
     return struct.pack("<4sI4s", b"RIFF", 4 + len(body) + n, b"WAVE") + body
 
 
-def read_wav(file: bytes) -> bytes:
-    """The samples of a mu-law WAV file, found by walking its chunks."""
+def parse_wav(file: bytes) -> tuple[str, int, bytes]:
+    """(codec, bytes of a block, samples) of a WAV file, found by walking its chunks."""
     if file[:4] != b"RIFF" or file[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at = 12
+    at, codec, block = 12, "", 0
     while at + 8 <= len(file):
         name, n = struct.unpack_from("<4sI", file, at)
-        if name == b"fmt " and struct.unpack_from("<H", file, at + 8)[0] != 7:
-            raise ValueError("not mu-law")
+        if at + 8 + n > len(file):
+            raise ValueError("cut off")
+        if name == b"fmt ":
+            if n < 16:
+                raise ValueError("no format")
+            kind, channels, _, _, block = struct.unpack_from("<HHIIH", file, at + 8)
+            codec = {number: c for c, number in FORMATS.items()}.get(kind, "")
+            if not codec or channels != 1 or (codec == "ima-adpcm" and block <= 4):
+                raise ValueError(f"format {kind} with {channels} channels")
         if name == b"data":
-            return file[at + 8 : at + 8 + n]
+            if not codec or n % (block if codec == "ima-adpcm" else 1):
+                raise ValueError("samples without their format, or a part of a block")
+            return codec, block, file[at + 8 : at + 8 + n]
         at += 8 + n + (n & 1)
     raise ValueError("no data chunk")
 
 
+def read_wav(file: bytes) -> bytes:
+    """The bytes of a WAV file's samples."""
+    return parse_wav(file)[2]
+
+
+def decode(codec: str, block: int, samples: bytes) -> np.ndarray:
+    """The 16-bit samples that a file's bytes stand for."""
+    data = np.frombuffer(samples, np.uint8)
+    if codec == "ima-adpcm":
+        return decode_adpcm(data.reshape(-1, block)).ravel()
+    return (MU_LAW if codec == "mu-law" else A_LAW)[data]
+
+
 def payload_of(text: bytes) -> bytes:
     """``text`` with bytes 255 up to a positive multiple of 576."""
     return text + bytes([PAD_BYTE]) * (max(1, -(-len(text) // UNIT_BYTES)) * UNIT_BYTES - len(text))
 
 
-def store(df: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
+def store(df: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes", codec: str = "mu-law") -> DataFrame:
     """``df`` without its text, with the padded payload's WAV file and the unpadded size."""
     kept = [f for f in df.schema.fields if f.name not in (text, media, n_bytes)]
     schema = T.StructType([*kept, T.StructField(n_bytes, T.LongType()), T.StructField(media, T.BinaryType())])
@@ -136,7 +172,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media", n_bytes: str
                 files = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     payload = payload_of(whole[a:b])
-                    files.append(wav_header(len(payload)) + payload)
+                    files.append(wav_header(len(payload), codec) + payload)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], names=schema.names)
 
     return df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f in kept or f.name == text]).mapInArrow(run, schema)
@@ -153,8 +189,7 @@ def features(payloads: list[bytes]) -> list[str]:
     cross[1:] = (mu[1:] < 0) != (mu[:-1] < 0)
     cross[starts] = 0
     crossings = np.add.reduceat(cross, starts)
-    double = resample_double(mu)
-    double[2 * (starts[1:] - 1) + 1] = mu[starts[1:] - 1]  # the last sample of each recording is held
+    double = resample_double(mu, starts)
     resampled = np.add.reduceat(np.square(double, dtype=np.int64), 2 * starts) // (2 * sizes)
     pcm = decode_adpcm(data.reshape(-1, BLOCK_BYTES))
     block_starts = starts // BLOCK_BYTES
@@ -163,27 +198,35 @@ def features(payloads: list[bytes]) -> list[str]:
     return [f"mu={m};a={x};pcm16k={r};zc={z};adpcm={s};peak={p}" for m, x, r, z, s, p in zip(power[0].tolist(), power[1].tolist(), resampled.tolist(), crossings.tolist(), squares.tolist(), peaks.tolist(), strict=True)]
 
 
-def load(df: DataFrame, media: str = "media", pcm: str | None = "pcm16k") -> DataFrame:
-    """``df`` with the payload read back from each file, its feature, and (unless ``pcm`` is None) 16 kHz 16-bit PCM."""
-    added = [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())] + ([T.StructField(pcm, T.BinaryType())] if pcm else [])
+def load(df: DataFrame, media: str = "media", pcm: str = "pcm16k") -> DataFrame:
+    """``df`` with the payload read back from each file, its feature, and its samples as 16 kHz 16-bit PCM.
+
+    ``features`` reads units of ``UNIT_BYTES``; a file of another size has none.
+    """
+    added = [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField(pcm, T.BinaryType())]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(media).to_pylist()
+            sizes = np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column(media)], np.int64)
+            ends = np.cumsum(sizes)
             at = 0
-            while at < len(files):  # about 4 MB at once
-                end, size = at, 0
-                while end < len(files) and (end == at or size + len(files[end]) <= 4 << 20):
-                    size += len(files[end])
-                    end += 1
-                payloads = [read_wav(f) for f in files[at:end]]
-                columns = [pa.array(payloads, pa.binary()), pa.array(features(payloads))]
-                if pcm:
-                    columns.append(pa.array([resample_double(MU_LAW[np.frombuffer(p, np.uint8)]).tobytes() for p in payloads], pa.binary()))
-                part = batch.slice(at, end - at)
+            while at < len(sizes):  # about 2 MB at once, a longer file alone
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + (2 << 20), "right")))
+                part = batch.slice(at, to - at)
+                found = [parse_wav(f) for f in part.column(media).to_pylist()]
+                whole = [i for i, (_, _, s) in enumerate(found) if s and len(s) % UNIT_BYTES == 0]
+                feature: list[str | None] = [None] * len(found)
+                for i, text in zip(whole, features([found[i][2] for i in whole]) if whole else [], strict=True):
+                    feature[i] = text
+                decoded = [decode(*f) for f in found]
+                starts = np.concatenate(([0], np.cumsum([len(d) for d in decoded]))).astype(np.int64)
+                real = starts[:-1][np.diff(starts) > 0]
+                double = resample_double(np.concatenate(decoded), real).tobytes()
+                pcms = [double[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                columns = [pa.array([s for _, _, s in found], pa.binary()), pa.array(feature, pa.string()), pa.array(pcms, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *columns], names=schema.names)
-                at = end
+                at = to
 
     return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)

@@ -35,8 +35,8 @@ def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a mu-law WAV file: digests of the file and of the payload read back from it, and its feature."""
-    out = media.load(media.store(documents(spark, sf_dir).select("doc_id", "text")), pcm=None)
+    """Every text as a mu-law WAV file: digests of the file, of the payload read back and of its PCM, and its feature."""
+    out = media.load(media.store(documents(spark, sf_dir).select("doc_id", "text")))
     return out.select(
         "doc_id",
         "n_bytes",
@@ -46,6 +46,8 @@ def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.length("pcm16k").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm16k", 256).alias("pcm_sha256"),
     )
 
 
