@@ -84,6 +84,20 @@ def test_urls_odd(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_stems_weights_and_vocabularies_from_tables(spark):
+    rows = [("soft", "deal", "Deal", 1), ("soft", "deal", "deals", None), ("soft", None, "heavy", 2), ("soft", "x", "light", 0), ("strict", "y", "bad", 1), ("soft", "z", "bad", 1), ("soft", "n", None, 1), ("soft", "n", "", 1)]
+    vocabulary = urls.vocabulary_of(spark.createDataFrame(rows, "kind string, stem string, form string, weight int"))
+    assert {t.form: (t.stem, t.weight, t.strict) for t in vocabulary} == {"deal": ("deal", 1, False), "deals": ("deal", 1, False), "heavy": ("heavy", 2, False), "light": ("x", 0, False), "bad": ("y", 1, True)}
+    given = ["http://h/deal-deals", "http://h/deal-light", "http://h/heavy", "http://h/BAD", "http://h/x", "http://h/free-bets", None]
+    df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    verdicts = lambda v: [r.verdict for r in urls.filter_urls(df, vocabulary=v).orderBy("page_id").collect()]
+    assert verdicts(vocabulary) == ["allow", "allow", "block", "block", "allow", "allow", "allow"]
+    assert verdicts(urls.VOCABULARY)[0] == "allow" and verdicts(urls.VOCABULARY)[5] == "block"  # one idea, two ideas
+    assert set(verdicts(())) == {"allow"}
+    with pytest.raises(ValueError):
+        urls.vocabulary_of(spark.createDataFrame([("odd", "a", "a", 1)], "kind string, stem string, form string, weight int"))
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = {}
@@ -162,6 +176,57 @@ def test_adpcm_blocks_equal_the_scalar_decoder():
     assert media.decode_adpcm(raw).tolist() == [slow_adpcm(bytes(b)) for b in raw]
 
 
+def slow_expand(law, code):
+    """G.711 by its segments, one sample at a time."""
+    if law == "mu-law":
+        code = 255 - code
+        size = (33 + 2 * (code % 16)) * 2 ** (code // 16 % 8) - 33
+        return (-4 if code >= 128 else 4) * size
+    code ^= 0b01010101
+    segment, step = code // 16 % 8, code % 16
+    size = 2 * step + 1 if segment == 0 else (2 * step + 33) * 2 ** (segment - 1)
+    return (8 if code >= 128 else -8) * size
+
+
+def test_companding_equals_the_segments():
+    assert [slow_expand("mu-law", c) for c in range(256)] == media.MU_LAW.tolist()
+    assert [slow_expand("a-law", c) for c in range(256)] == media.A_LAW.tolist()
+
+
+def slow_feature(payload):
+    """The feature string by plain loops."""
+    mu, a = ([slow_expand(law, c) for c in payload] for law in ("mu-law", "a-law"))
+    double = [x for p, q in zip(mu, [*mu[1:], mu[-1]], strict=True) for x in (p, (p + q) // 2)]
+    adpcm = [x for i in range(0, len(payload), 36) for x in slow_adpcm(payload[i : i + 36])]
+    mean = lambda x: sum(v * v for v in x) // len(x)
+    crossings = sum((p < 0) != (q < 0) for p, q in zip(mu, mu[1:], strict=False))
+    return f"mu={mean(mu)};a={mean(a)};pcm16k={mean(double)};zc={crossings};adpcm={mean(adpcm)};peak={max(map(abs, adpcm))}"
+
+
+def test_features_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    payloads = [media.payload_of(x) for x in (b"", "Hello wörld".encode() * 60, bytes(rng.integers(0, 256, 1500, np.uint8)), b"\x00" * 600, b"\x80\x7f" * 300)]
+    assert media.features(payloads) == list(map(slow_feature, payloads))
+
+
+@pytest.mark.parametrize("codec", ["mu-law", "a-law", "ima-adpcm"])
+def test_files_of_each_codec(spark, codec):
+    texts = ["abc" * 500, None, "é" * 700, "abc" * 500]
+    df = docs(spark, texts).drop("doc_id").withColumn("n", F.monotonically_increasing_id())
+    got = media.load(media.store(df, codec=codec)).orderBy("n").collect()
+    for text, r in zip(texts, got, strict=True):
+        payload = media.payload_of((text or "").encode())
+        assert bytes(r.payload) == payload and media.parse_wav(bytes(r.media))[0] == codec
+        slow = [x for i in range(0, len(payload), 36) for x in slow_adpcm(payload[i : i + 36])] if codec == "ima-adpcm" else [slow_expand(codec, c) for c in payload]
+        double = [x for p, q in zip(slow, [*slow[1:], slow[-1]], strict=True) for x in (p, (p + q) // 2)]
+        assert np.frombuffer(r.pcm16k, np.int16).tolist() == double
+    assert got[0].pcm16k == got[3].pcm16k
+    whole = bytes(got[0].media)
+    for broken in (whole[:-1], whole.replace(b"fmt ", b"FMT "), whole[:50]):
+        with pytest.raises(ValueError):
+            media.parse_wav(broken)
+
+
 def test_features_do_not_depend_on_neighbours():
     payloads = [media.payload_of(bytes([i]) * (300 * i)) for i in range(1, 6)]
     assert media.features(payloads) == [media.features([p])[0] for p in payloads]
