@@ -395,12 +395,42 @@ def test_quality_on_held_out_labels(spark):
     assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
 
 
+def test_features_equal_plain_counts():
+    text = "Win $$ NOW now now! a1 a1 the the end " + "x" * 31
+    got = dict(zip(quality.FEATURES, quality.text_features(pa.array([text, None]))[0], strict=False))
+    w = text.lower().split()
+    assert got["doubled"] == pytest.approx(sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w))
+    assert got["symbols"] == pytest.approx(math.log1p(4 * 2 / len(w))) and got["exclaim"] == pytest.approx(math.log1p(4 / len(w)))
+    assert got["upper"] == pytest.approx(4 / len(text)) and got["digits"] == pytest.approx(2 / len(text)) and got["long_words"] == pytest.approx(1 / len(w))
+    shares = quality.text_features(pa.array([text]))[0, len(quality.FEATURES) :]
+    assert shares.sum() == pytest.approx((2 * len(w) - 1) / len(w))
+
+
+def test_weights_minimise_the_loss_on_pairs():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, quality.WIDTH)) + labels[:, None] * rng.normal(size=quality.WIDTH) * 0.1
+    model = quality.PairwiseRanker(x, labels, pairs=2000)
+    scaled = x / model.scale
+
+    def slow(weights):
+        margin = [(scaled[g] - scaled[b]) @ weights for g, b in zip(model.good, model.bad, strict=True)]
+        return sum(math.log1p(math.exp(-m)) for m in margin) / len(margin) + sum(p * w * w for p, w in zip(model.penalty, weights, strict=True)) / 2
+
+    least, gradient, _ = model.loss(scaled, model.weights)
+    assert least == pytest.approx(slow(model.weights)) and np.abs(gradient).max() < 1e-6
+    for _ in range(10):
+        assert slow(model.weights + rng.normal(size=quality.WIDTH) * 0.01) > least
+    ranks = np.argsort(np.argsort(scaled @ model.weights))
+    assert (model.score(x) >= quality.THRESHOLD).sum() == (labels == 1).sum() and ranks[labels == 1].mean() > ranks[labels == 0].mean()
+
+
 def test_quality_edges(spark):
     texts = [None, "", "a", "word " * 20_000, "a", "# $ % &"]
     df = docs(spark, list(enumerate(texts)))
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(df, none)
-    assert {r.score for r in quality.score(df, model).collect()} == {quality.PairwiseRanker(np.zeros((0, 10)), np.zeros(0)).score(np.zeros((1, 10)))[0]}
+    assert {r.score for r in quality.score(df, model).collect()} == {quality.PairwiseRanker(np.zeros((0, quality.WIDTH)), np.zeros(0)).score(np.zeros((1, quality.WIDTH)))[0]}
     labels = spark.createDataFrame([(0, 0), (2, 1), (2, 1), (5, 0), (None, 1), (3, None), (77, 1)], "doc_id long, quality int")
     got = [r.score for r in quality.score(df, quality.train(df, labels)).collect()]
     assert len(got) == 6 and all(0 <= s <= 1 for s in got) and got[2] == got[4] and got[0] == got[1]
