@@ -1,11 +1,14 @@
 """Host-level quality rules, natively in DataFrame functions.
 
 Each document gets four counts and a base verdict; failures are added up by host, each host's failure rate is drawn
-towards the corpus by a beta prior fitted to all hosts (method of moments), and the host's verdict is joined back: all
-documents of a host whose shrunk rate exceeds ``most`` go.
+towards the corpus by a beta prior fitted to all hosts (method of moments), and the host's verdict is joined back.  A host
+goes, with all its documents, if its shrunk rate is above a limit that the prior gives: ``SPREADS`` of the prior's standard
+deviations above its mean, midway between its mean and one at most where hosts differ very much, and half at least, so that
+clean documents never go with a host that is merely worse than others.
 
 Null texts have no words and fail.  A null host is a host of its own.  Empty texts have no words; texts of any length
-are counted whole, in time n log n; repeated rows count each time; an empty table gives an empty result.
+are counted whole, in time n log n; repeated rows count each time; a rate equal to the limit stays; an empty table gives an
+empty result; columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ SPACES = "\t\n\x0b\f\r "
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
-#: A host goes if its shrunk failure rate is above this.
-HOST_LIMIT = 0.6
+#: A host goes if its shrunk failure rate is above the prior's mean by so many standard deviations, and above this rate.
+SPREADS, HOST_LEAST = 2.0, 0.5
 
 
 def _bound(value: Column, body) -> Column:
@@ -68,8 +71,8 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(failures: DataFrame, host: str = "host", most: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_docs, n_failed, shrunk_rate, host_kept) from rows of (host, base_failed).
+def host_verdicts(failures: DataFrame, host: str = "host", spreads: float = SPREADS, least: float = HOST_LEAST) -> DataFrame:
+    """(host, n_docs, n_failed, shrunk_rate, host_limit, host_kept) from rows of (host, base_failed).
 
     The prior beta(a, b) has the mean and variance of the hosts' rates; where the variance leaves no prior (one host, or
     none that differs), a + b is the mean number of documents of a host.
@@ -80,18 +83,20 @@ def host_verdicts(failures: DataFrame, host: str = "host", most: float = HOST_LI
     spread = F.col("m") * (1 - F.col("m"))
     strength = F.when((F.col("v") > 0) & (F.col("v") < spread), spread / F.nullif(F.col("v"), F.lit(0.0)) - 1).otherwise(F.col("mean_docs"))
     out = by_host.withColumn("prior", prior.select(F.struct(F.col("m"), strength.alias("s"))).scalar())
-    shrunk = (F.col("n_failed") + F.col("prior.m") * F.col("prior.s")) / (F.col("n_docs") + F.col("prior.s"))
-    return out.select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= most).alias("host_kept"))
+    m, s = F.col("prior.m"), F.col("prior.s")
+    shrunk = (F.col("n_failed") + m * s) / (F.col("n_docs") + s)
+    limit = F.greatest(F.lit(least), F.least(m + spreads * F.sqrt(m * (1 - m) / (s + 1)), (1 + m) / 2))
+    return out.select(host, "n_docs", "n_failed", shrunk.alias("shrunk_rate"), limit.alias("host_limit"), (shrunk <= limit).alias("host_kept"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", most: float = HOST_LIMIT) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", spreads: float = SPREADS, least: float = HOST_LEAST) -> DataFrame:
     """``df``'s columns but the text, the counts, base_failed, shrunk_rate and kept.
 
     The texts are read once and not shuffled: the counts alone go to the join.  The host table is broadcast only where
     its size is under Spark's limit; beyond it Spark splits a hot host's join.
     """
     rows = written(counted(df.drop("shrunk_rate", "host_kept"), text).drop(text), "counts")
-    hosts = written(host_verdicts(rows.select(F.col(host).alias("host"), "base_failed"), most=most), "hosts")
+    hosts = written(host_verdicts(rows.select(F.col(host).alias("host"), "base_failed"), spreads=spreads, least=least), "hosts")
     out = rows.join(hosts.select(F.col("host").alias("__host"), "shrunk_rate", "host_kept"), F.col(host).eqNullSafe(F.col("__host")), "left")
     return out.drop("__host").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("host_kept")
 
@@ -113,7 +118,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
 p AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(n) AS d FROM h),
 q AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE d END AS s FROM p),
-k AS (SELECT source, (f + m * s) / (n + s) <= 0.6 AS host_kept FROM h, q)
+k AS (SELECT source, (f + m * s) / (n + s) <= greatest(0.5, least(m + 2 * sqrt(m * (1 - m) / (s + 1)), (1 + m) / 2)) AS host_kept FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND host_kept AS kept
 FROM b JOIN k ON b.source IS NOT DISTINCT FROM k.source"""

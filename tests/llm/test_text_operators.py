@@ -128,6 +128,28 @@ def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     assert got["small"].shrunk_rate < 1 and got["bad"].shrunk_rate < 0.9
 
 
+def test_host_verdicts_decide_rows(spark):
+    """A host of junk takes its few good documents along; a small host with as high a rate is drawn back and stays."""
+    good = " ".join(f"word{i}" for i in range(30))
+    rows, n = [], 0
+    for host, docs_, bad in [*((f"h{i}", 20, i % 3) for i in range(40)), ("junk", 60, 55), ("small", 3, 2), (None, 20, 1)]:
+        for i in range(docs_):
+            rows.append((n := n + 1, host, "too short" if i < bad else good))
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    rates = {h: (sum(r.source == h and r.base_failed for r in got), sum(r.source == h for r in got)) for h in {r.source for r in got}}
+    each = [f / n for f, n in rates.values()]
+    m = sum(each) / len(each)
+    v = sum((x - m) ** 2 for x in each) / len(each)
+    s = m * (1 - m) / v - 1
+    limit = max(0.5, min(m + 2 * (m * (1 - m) / (s + 1)) ** 0.5, (1 + m) / 2))
+    for r in got:
+        f, n = rates[r.source]
+        assert r.shrunk_rate == pytest.approx((f + m * s) / (n + s))
+        assert r.kept == (not r.base_failed and (f + m * s) / (n + s) <= limit)
+    assert all(r.kept == (not r.base_failed) for r in got if r.source != "junk") and not any(r.kept for r in got if r.source == "junk")
+    assert rates["small"][0] / rates["small"][1] > limit > rules.HOST_LEAST - 1e-9
+
+
 def test_one_host_has_a_prior(spark):
     got = rules.host_verdicts(spark.createDataFrame([("a", False)] * 3, "host string, base_failed boolean")).first()
     assert got.shrunk_rate == 0 and got.host_kept
