@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints linked within a Hamming radius by BK-trees, and their connected components.
 
 A fingerprint bit is set if it is set in over half of the 64-bit hashes of a text's word shingles.  Equal fingerprints
-are one node.  Fingerprints within ``RADIUS`` bits agree on at least ``SHARED`` of ``BLOCKS`` blocks of bits, so each goes
+are one node, named by its smallest document id, so that a component's smallest node is its result.  Fingerprints within ``RADIUS`` bits agree on at least ``SHARED`` of ``BLOCKS`` blocks of bits, so each goes
 to one shard for every choice of ``SHARED`` blocks, keyed by those bits.  A shard is a BK-tree: a child hangs from its
 parent by an edge numbered with their Hamming distance, and a query at distance d from a node follows only the edges
 d - RADIUS to d + RADIUS.  Trees of all shards of a task are built and searched level by level in numpy.  Shards aren't
@@ -16,11 +16,15 @@ as well.  In a shard of more than ``SMALL`` members only pairs that verified lin
 without a common shingle among the rarest of each, which can't reach it.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Texts of any length are hashed whole.  Rows
-without an id have a fingerprint and the component of the others.  Repeated rows give repeated results.
+without an id have a fingerprint and the component of the others; the component is null where no row of it has an id.  A
+node without an id is named by a number from 2^62 on, made of its fingerprint, so ids must be smaller.  Repeated rows give
+repeated results; of texts with one fingerprint that of the smallest id is compared by similarity, of rows that repeat that
+id the least one.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,6 +43,8 @@ SHARD_LIMIT = 20_000
 #: Up to so many members of a band's shard their pairs are verified one by one; of larger shards so many shingles in a cell.
 SMALL, SHARD_SHINGLES = 16, 4_000_000
 BANDS, BAND_BINS = 12, 3
+#: From here on a number names a node of which no row has an id.
+NAMELESS = 1 << 62
 _SUM_ROWS = 1 << 16
 _BLOCK = 1 << 20
 
@@ -185,12 +191,12 @@ def _searched(values: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tu
 
 
 def shard_links(values: np.ndarray, shard: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest linked value's) of the shards' members: stars that connect all within the radius."""
+    """Links (number of a member, that of the first linked one): stars that connect all within the radius."""
     labels = np.arange(len(values))
     for query, node in _searched(values, shard, radius):
         labels = joined(labels, query, node)
     moved = np.flatnonzero(labels != np.arange(len(labels)))
-    return values[moved], values[labels[moved]]
+    return moved, labels[moved]
 
 
 def verified_links(shingles: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -247,7 +253,7 @@ def verified_links(shingles: np.ndarray, sizes: np.ndarray, similarity: float) -
 
 
 def _in_shards(rows: DataFrame, limit: int, build) -> DataFrame:
-    """(a, b) of ``build(values, shard)`` on the shards of ``rows`` (value, choice, bits) with several members."""
+    """(a, b), nodes, of ``build(values, shard)`` on the shards of ``rows`` (node, value, choice, bits) with several members."""
     large = written(rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).withColumn("groups", F.ceil(F.col("n") * 2 / limit).cast("int")).drop("n"), "shards")
     if not large.isEmpty():
         own = F.pmod(F.xxhash64("value"), F.col("groups")).cast("int")
@@ -262,21 +268,23 @@ def _in_shards(rows: DataFrame, limit: int, build) -> DataFrame:
         held_n = 0
 
         def done(table: np.ndarray) -> pa.RecordBatch:
+            node, table = table[:, 4], table[:, :4]
             shard = np.cumsum(np.concatenate(([False], (table[1:, 1:] != table[:-1, 1:]).any(1))))
             several = np.bincount(shard)[shard] > 1
-            a = b = np.zeros(0, np.uint64)
+            a = b = np.zeros(0, np.int64)
             if several.any():
                 _, shard = np.unique(shard[several], return_inverse=True)
-                a, b = build(np.ascontiguousarray(table[several, 0]).view(np.uint64), shard)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                i, j = build(np.ascontiguousarray(table[several, 0]).view(np.uint64), shard)
+                a, b = node[several][i], node[several][j]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("value", "choice", "bits", "cell")], 1))
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("value", "choice", "bits", "cell", "node")], 1))
             held_n += batch.num_rows
             if held_n < 200_000:
                 continue
             table = np.concatenate(held)
-            starts = np.flatnonzero((table[1:, 1:] != table[:-1, 1:]).any(1)) + 1
+            starts = np.flatnonzero((table[1:, 1:4] != table[:-1, 1:4]).any(1)) + 1
             cut = starts[-1] if len(starts) else 0  # the last shard may go on in the next batch
             if cut:
                 yield done(table[:cut])
@@ -284,36 +292,32 @@ def _in_shards(rows: DataFrame, limit: int, build) -> DataFrame:
         if held:
             yield done(np.concatenate(held))
 
-    return rows.select("value", "choice", "bits", "cell").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("value", "choice", "bits", "cell", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(nodes: DataFrame, column: str = "fingerprint", radius: int = RADIUS, blocks: int = BLOCKS, shared: int = SHARED, limit: int = SHARD_LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all pairs within the radius."""
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shared: int = SHARED, limit: int = SHARD_LIMIT) -> DataFrame:
+    """(a, b): links between ``nodes`` (node, fingerprint) whose components are those of all pairs within the radius."""
     if radius > blocks - shared:
         raise ValueError("too few blocks for the radius")
     masks = block_masks(blocks, shared)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(column).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    rows = nodes.select(F.col(column).alias("value"), F.explode(keys).alias("key")).select("value", "key.choice", "key.bits")
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
+    rows = nodes.select("node", F.col("fingerprint").alias("value"), F.explode(keys).alias("key")).select("node", "value", "key.choice", "key.bits")
     return _in_shards(rows, limit, lambda values, shard: shard_links(values, shard, radius))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words: int, small: int = SMALL, limit: int = SHARD_SHINGLES) -> DataFrame:
-    """(a, b): links between fingerprints whose components are those of all pairs of a shard that reach the similarity.
+    """(a, b): links between nodes whose components are those of all pairs of a shard that reach the similarity.
 
-    Compared are the shingles of the fingerprints' first documents.  ``nodes``: fingerprint, first_id and bands; ``texts``:
-    id and text.
+    ``nodes``: node and bands; ``texts``: node and text, one row each.
     """
-    rows = nodes.select(F.col("fingerprint").alias("value"), F.posexplode("bands").alias("choice", "bits")).where("bits is not null")
+    rows = nodes.select("node", F.posexplode("bands").alias("choice", "bits")).where("bits is not null")
     several = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(rows.join(several, ["choice", "bits"]), "members")
-    ids = nodes.select("fingerprint", "first_id")
     pair = "explode(flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x as a, y as b)))))"
-    pairs = members.where(F.col("n") <= small).groupBy("choice", "bits").agg(F.array_sort(F.collect_list("value")).alias("v")).select(F.expr(pair).alias("pair")).select("pair.*").distinct()
+    pairs = members.where(F.col("n") <= small).groupBy("choice", "bits").agg(F.array_sort(F.collect_list("node")).alias("v")).select(F.expr(pair).alias("pair")).select("pair.*").distinct()
     pairs = written(pairs, "kin")
-    named = pairs.join(ids.withColumnsRenamed({"fingerprint": "a", "first_id": "a_id"}), "a").join(ids.withColumnsRenamed({"fingerprint": "b", "first_id": "b_id"}), "b")
-    named = named.join(texts, F.col("a_id") == F.col("id")).select("a", "b", "b_id", F.col("text").alias("a_text"))
-    named = named.join(texts, F.col("b_id") == F.col("id")).select("a", "b", "a_text", F.col("text").alias("b_text"))
+    named = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,12 +329,12 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, words:
     out = named.mapInArrow(run, "a long, b long")
     large = members.where(F.col("n") > small)
     if not large.isEmpty():
-        out = out.unionByName(_large_links(large, ids, texts, similarity, words, limit))
+        out = out.unionByName(_large_links(large, texts, similarity, words, limit))
     return out.distinct()
 
 
-def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarity: float, words: int, limit: int) -> DataFrame:
-    """(a, b) of shards (value, choice, bits) whose members' sets of shingles go to the shard and are compared there."""
+def _large_links(members: DataFrame, texts: DataFrame, similarity: float, words: int, limit: int) -> DataFrame:
+    """(a, b) of shards (node, choice, bits) whose members' sets of shingles go to the shard and are compared there."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,16 +343,15 @@ def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarit
                 each = [np.unique(found.value[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
                 ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 flat = pa.array(np.concatenate(each).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("value"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64))], names=["value", "shingles", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64))], names=["node", "shingles", "size"])
 
-    named = members.select("value").distinct().join(ids.withColumnRenamed("fingerprint", "value"), "value").join(texts, F.col("first_id") == F.col("id"))
-    held = written(named.dropDuplicates(["value"]).select("value", "text").mapInArrow(sets, "value long, shingles array<long>, size long"), "shingles")
-    sized = members.select("value", "choice", "bits").join(held.select("value", "size"), "value")
+    held = written(texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(sets, "node long, shingles array<long>, size long"), "shingles")
+    sized = members.select("node", "choice", "bits").join(held.select("node", "size"), "node")
     groups = sized.groupBy("choice", "bits").agg(F.sum("size").alias("all")).select("choice", "bits", F.when(F.col("all") <= limit, 1).otherwise(F.ceil(F.col("all") * 2 / limit)).cast("int").alias("groups"))
-    own = F.pmod(F.xxhash64("value"), F.col("groups")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.least(g, own).cast("long") * (1 << 31) + F.greatest(g, own))
-    rows = members.select("value", "choice", "bits").join(groups, ["choice", "bits"]).select("value", "choice", "bits", F.explode(cells).alias("cell")).join(held, "value")
-    rows = rows.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "value")
+    rows = members.select("node", "choice", "bits").join(groups, ["choice", "bits"]).select("node", "choice", "bits", F.explode(cells).alias("cell")).join(held, "node")
+    rows = rows.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -371,14 +374,14 @@ def _large_links(members: DataFrame, ids: DataFrame, texts: DataFrame, similarit
                     yield done()
                 key = tuple(table[a])
                 part = batch.slice(a, b - a)
-                values.append(part.column("value").to_numpy(zero_copy_only=False))
+                values.append(part.column("node").to_numpy(zero_copy_only=False))
                 lists.append(part.column("shingles").flatten().to_numpy(zero_copy_only=False).copy())
                 sizes.append(part.column("size").to_numpy(zero_copy_only=False))
         if values:
             yield done()
         tidy()
 
-    return rows.select("value", "choice", "bits", "cell", "shingles", "size").mapInArrow(run, "a long, b long")
+    return rows.select("node", "choice", "bits", "cell", "shingles", "size").mapInArrow(run, "a long, b long")
 
 
 def jaccard(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
@@ -401,19 +404,20 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
     With a ``similarity``, texts whose shingles reach it are linked as well.
     """
-    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     bands = None if similarity is None else "bands"
-    rows = written(fingerprints(texts.withColumnRenamed("id", "doc_id"), words=words, seed=seed, bands=bands), "fingerprints")
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", "doc_id").alias("bands")] if bands else []))
-    edges = links(nodes.select("fingerprint"), radius=radius)
+    rows = written(fingerprints(texts, words=words, seed=seed, bands=bands), "fingerprints")
+    name = F.coalesce("first_id", F.lit(NAMELESS).bitwiseOR(F.col("fingerprint").bitwiseAND(F.lit(NAMELESS - 1))))
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", F.col("doc_id")).alias("bands")] if bands else [])).withColumn("node", name)
+    nodes = written(nodes, "nodes")
+    edges = links(nodes.select("node", "fingerprint"), radius=radius)
     if similarity is not None:
-        edges = edges.unionByName(similar_links(nodes, texts, similarity, words))
-    nodes = nodes.select("fingerprint", "first_id")
+        # where a row repeats the id, the least of its texts
+        first = texts.join(nodes.where("first_id is not null").select(F.col("first_id").alias("doc_id"), "node"), "doc_id").groupBy("node").agg(F.min("text").alias("text"))
+        edges = edges.unionByName(similar_links(nodes.where("first_id is not null").select("node", "bands"), first, similarity, words))
     linked = connected_components(edges)
-    named = linked.join(nodes.withColumnRenamed("fingerprint", "node"), "node")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    of_node = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
+    of_node = nodes.select("node", "fingerprint").join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    of_node = of_node.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
     return rows.join(of_node, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
@@ -423,7 +427,14 @@ def hex_digits(fingerprint: Column) -> Column:
 
 
 def first_of_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``df`` with one row of each component: the one with the smallest id.  Rows without an id are not judged and stay."""
+    """``df`` with one row of each component: the one with the smallest id, of rows that repeat it the least by its columns.
+
+    Columns that have no order (maps) do not count in that.  Rows without an id are not judged and stay.
+    """
     kept = components(df, text, doc_id, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    named = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    ordered = [f.name for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    least = F.min(whole) if len(ordered) == len(df.columns) else F.min_by(whole, F.struct(*(F.col(f"`{c}`") for c in ordered)))
+    named = named.groupBy(F.col(doc_id).alias("__id")).agg(least.alias("__row")).select("__row.*")
     return named.unionByName(df.where(F.col(doc_id).isNull()))

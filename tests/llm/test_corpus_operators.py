@@ -95,7 +95,7 @@ def test_large_shards_are_cut_and_lose_no_link(spark, limit):
     rng = np.random.default_rng(2)
     base = [int(x) for x in rng.integers(0, 2**62, 3)]
     values = sorted({b ^ sum(1 << int(k) for k in rng.choice(20, rng.integers(0, 7), replace=False)) for b in base for _ in range(60)})
-    nodes = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    nodes = spark.createDataFrame([(v, v) for v in values], "node long, fingerprint long")
     got = {r.node: r.component for r in common.connected_components(simhash.links(nodes, limit=limit)).collect()}
     label = slow_components(values)
     assert all(got.get(v, v) == values[c] for v, c in zip(values, label, strict=True))
@@ -151,9 +151,9 @@ def lookalikes(n):
 def test_copies_in_a_family_of_lookalikes_are_linked(spark):
     texts, label = lookalikes(1000)
     rows = docs(spark, list(enumerate(texts)))
-    nodes = simhash.fingerprints(rows, words=5, bands="bands").withColumn("first_id", F.col("doc_id"))
-    # fingerprints of their own, so that only similarity links
-    edges = simhash.similar_links(nodes.withColumn("fingerprint", F.col("doc_id")), rows.select(F.col("doc_id").alias("id"), "text"), 0.8, 5)
+    # nodes of their own, so that only similarity links
+    nodes = simhash.fingerprints(rows, words=5, bands="bands").withColumnRenamed("doc_id", "node")
+    edges = simhash.similar_links(nodes, rows.select(F.col("doc_id").alias("node"), "text"), 0.8, 5)
     got = {r.node: r.component for r in common.connected_components(edges).collect()}
     found = np.array([got.get(i, i) for i in range(len(texts))])
     assert (label[found] == label).all() and (found != label).sum() <= 2
@@ -184,7 +184,19 @@ def test_links_within_a_shard_equal_brute_force(n):
 
 def test_radius_needs_blocks(spark):
     with pytest.raises(ValueError):
-        simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), radius=5)
+        simhash.links(spark.createDataFrame([(1, 1)], "node long, fingerprint long"), radius=5)
+
+
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    one, other = " ".join(words(60)), " ".join(words(60))
+    rows = [(None, one), (None, one), (None, other), (8, other), (5, "b c d e"), (5, "a b c d"), (5, "b c d e")]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.components(docs(spark, rows)).collect()}
+    by_text = {t: simhash.fingerprints(docs(spark, [(1, t)])).first().fingerprint for t in (one, other)}
+    assert got[None, by_text[one]] is None and got[None, by_text[other]] == 8
+    kept = simhash.first_of_components(docs(spark, rows), words=5, similarity=0.8).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, one), (0, one), (0, other), (8, other), (5, "a b c d")])
+    mapped = simhash.first_of_components(docs(spark, rows).withColumn("m", F.create_map(F.lit("k"), F.col("text"))), words=5, similarity=0.8)
+    assert sorted((r.doc_id or 0, r.text) for r in mapped.collect()) == sorted((r.doc_id or 0, r.text) for r in kept)
 
 
 def test_compact_windows_are_the_cartesian_tree():
