@@ -283,10 +283,85 @@ def test_passages_equal_brute_force_on_the_tables(spark):
     for i in sorted(texts):
         for at in range(len(texts[i]) - 49):
             window = tuple(texts[i][at : at + 50])
-            if seen.setdefault(window, i) != i and len(set(window)) > 10:
+            if seen.setdefault(window, i) != i:
                 assert set(range(at, at + 50)) <= covered[i]
 
 
+def slow_near_windows(a, b, n=50, size=5):
+    """Starts of windows of ``a`` that are 0.8 alike with some window of ``b``, by their sets of shingles."""
+    grams = lambda w: [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+    x, y = grams(a), grams(b)
+    sets = [set(y[t : t + n - size + 1]) for t in range(len(b) - n + 1)]
+    out = []
+    for s in range(len(a) - n + 1):
+        own = set(x[s : s + n - size + 1])
+        if any(10 * len(own & other) >= 8 * len(own | other) for other in sets):
+            out.append(s)
+    return out
+
+
+def edited(passage, n, rng):
+    out = list(passage)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        kind = rng.choice(["change", "insert", "leave out"])
+        out[at : at + (kind != "insert")] = [] if kind == "leave out" else [f"edit{rng.randrange(10**6)}"]
+    return out
+
+
+def test_recall_of_edited_passages_against_brute_force(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for edits in range(6):
+        for _ in range(25):
+            passage = words(rng.randrange(60, 130))
+            a = words(rng.randrange(30)) + passage + words(rng.randrange(30))
+            b = words(rng.randrange(30)) + edited(passage, edits, rng) + words(rng.randrange(30))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            want[len(rows) - 1] = edits, slow_near_windows(b, a)
+    covered = collections.defaultdict(set)
+    for r in substring.repeated_passages(docs(spark, rows)).collect():
+        assert r.other_id == r.doc_id - 1 and r.doc_id % 2
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    found, whole = collections.Counter(), collections.Counter()
+    for i, (edits, starts) in want.items():
+        for s in starts:
+            whole[edits] += 1
+            found[edits] += len(covered[i] & set(range(s, s + 50))) >= 45
+    assert found[0] == whole[0] and sum(found.values()) >= 0.95 * sum(whole.values()), (found, whole)
+
+
+def test_clean_texts_of_common_words_have_no_passages(spark):
+    rows = [(i, " ".join(RNG.choice(VOCABULARY[:300]) for _ in range(400))) for i in range(60)]
+    assert substring.repeated_passages(docs(spark, rows)).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    passage = words(80)
+    rows = [(1, " ".join(words(20) + passage)), (2, " ".join(words(300) + passage + words(5))), (2, " ".join(passage[:60])), (2, "short"), (2, None), (3, " ".join(words(9)))]
+    left = sorted((r.doc_id, r.text or "") for r in substring.drop_repeats(docs(spark, rows)).collect())
+    assert left == sorted([(1, rows[0][1]), (2, " ".join(rows[1][1].split()[:300] + rows[1][1].split()[380:])), (2, "short"), (2, ""), (3, rows[5][1])])
+
+
+def test_long_runs_of_a_line_take_no_time():
+    import time
+
+    line = " ".join(words(20)) + "\n"
+    started = time.process_time()
+    spans = substring.pair_spans(pa.array([line * 1000]), pa.array(["other words " + line * 1000]))
+    assert time.process_time() - started < 3
+    assert len(spans) == 1 and spans[0, 1] == 0 and spans[0, 2] == 20_000
+
+
+def test_passages_of_another_size(spark):
+    passage = words(24)
+    rows = [(1, " ".join(words(30) + passage + words(30))), (2, " ".join(words(9) + passage))]
+    keys = substring.window_keys(docs(spark, rows), passage=20)
+    shared = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").count()
+    assert shared > 0 and substring.window_keys(docs(spark, [(1, "a " * 20)]), passage=20).count() > 0
+    assert substring.pair_spans(pa.array([rows[1][1]]), pa.array([rows[0][1]]), passage=20).tolist() == [[0, 9, 33, 30, 54]]
+
+
 def slow_targets(sizes, share=1.5, limit=2):
     """By the rule: share by weight, stop at the limit, share the excess again."""
     names = sorted((s for s in sizes if s is not None), key=str) + [s for s in sizes if s is None]
