@@ -2,11 +2,13 @@
 
 A pair of bytes that no vocabulary token holds side by side can never be joined by a merge, so a text may be cut there
 before encoding: the fragments are encoded one by one and their ids concatenated.  Bytes of white space are in no token,
-so every white-space run is such a cut; within a word the pair table of the vocabulary gives the rest.  Words and
-fragments repeat, so each worker keeps bounded dictionaries of those already encoded.
+so every white-space run is such a cut, and so is every end of a piece of the vocabulary's own splitting pattern; within a
+piece the pair table of the vocabulary gives the rest.  Pieces repeat, so each worker keeps a bounded dictionary of those
+already encoded; texts become ids, and ids text, by look-ups over whole chunks.
 
 Null texts encode as empty texts; an empty text has no ids and decodes to the empty string; texts of any length are
-encoded whole; repeated rows give repeated results; other columns are carried as they are.
+encoded whole; ties and repeated rows give repeated results; an empty table gives an empty result; other columns are
+carried as they are, and those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words kept by a worker; a full dictionary is emptied, which costs time and changes nothing else.
-KEPT_WORDS = 250_000
+from .common import chunks
+
+#: Bytes of text encoded at once, unless one text alone is longer.
+CHUNK = 1 << 20
+#: Pieces kept by a worker; a full dictionary is emptied, which costs time and changes nothing else.
+KEPT_PIECES = 400_000
 
 
 #: Below this code point letters, numbers and lower case are the same in every Unicode version, and all text is NFC.
@@ -33,6 +39,7 @@ _LATIN_END = chr(0x250)
 _LATIN = [chr(c) for c in range(0x250)]
 _LETTERS = re.escape("".join(c for c in _LATIN if c.isalpha()))
 _NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
+_SPACES = re.compile(r"[\x09-\x0d\x20]+")
 _LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\x09-\x0d\x20\x85\xa0{_LETTERS}{_NUMBERS}]+")
 
 
@@ -68,8 +75,18 @@ class ForcedBoundaryEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.text_of = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
-        self.ids: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, str] = {}
+        # the tokens' texts, a space after each
+        table = [self.text_of.get(i, "").encode() + b" " for i in range(max(self.text_of) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.token_size = np.array(list(map(len, table)), np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pieces but the special tokens, which no other piece equals."""
+        self.place: dict[str, int] = {t: i for i, t in enumerate(self.special)}
+        self.start, self.count = np.arange(len(self.special), dtype=np.int64), np.ones(len(self.special), np.int64)
+        self.pool = np.array(list(self.special.values()), np.int32)
 
     def fragments(self, pieces: list[str]) -> list[list[str]]:
         """Each piece cut wherever two neighbouring bytes are in no token; all pieces at once, a space between them."""
@@ -89,64 +106,94 @@ class ForcedBoundaryEncoder:
         return out
 
     def split(self, part: str) -> list[str]:
-        """The pieces of one part: what merges can never leave."""
+        """The pieces of a text without special tokens: what merges can never leave."""
         if part.isascii() or (part and max(part) < _LATIN_END):
             return _LATIN_PIECES.findall(part.lower())
-        part = self.whole.normalizer.normalize_str(part)
-        return [p for p, _ in self.pieces.pre_tokenize_str(part)] if part else []
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words that are not in the dictionaries yet."""
-        plans: list[list[str | int]] = []
-        for word in words:
-            text = word.decode()
-            if self.special_split and "<|" in text:
-                plan: list[str | int] = []
-                for part in self.special_split.split(text):
-                    plan += [self.special[part]] if part in self.special else self.split(part)
-                plans.append(plan)
-            else:
-                plans.append(self.split(text))
-        pieces = list(dict.fromkeys(x for plan in plans for x in plan if isinstance(x, str)))
+        out: list[str] = []
+        run: list[str] = []  # words in Latin letters that follow one another
+        for word in _SPACES.split(part):
+            if word.isascii() or max(word) < _LATIN_END:
+                run.append(word)
+                continue
+            out += _LATIN_PIECES.findall(" ".join(run).lower())
+            run.clear()
+            word = self.whole.normalizer.normalize_str(word)
+            out += [p for p, _ in self.pieces.pre_tokenize_str(word)] if word else []
+        return out + _LATIN_PIECES.findall(" ".join(run).lower())
+
+    def pieces_of(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.special_split and "<|" in text:
+            parts = self.special_split.split(text)
+            return [x for part in parts for x in ((part,) if part in self.special else self.split(part))]
+        return self.split(text)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces that are not in the dictionary yet."""
         cut = self.fragments(pieces)
-        inner = self._encoded(self.inner, [f for p in cut for f in p[:-1]])
-        last = self._encoded(self.last, [p[-1] for p in cut])
-        of_piece: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
-        for piece, (*before, end) in zip(pieces, cut, strict=True):
-            of_piece[piece] = (*(i for f in before for i in inner[f]), *last[end])
-        for word, plan in zip(words, plans, strict=True):
-            ids = of_piece[plan[0]] if len(plan) == 1 else [i for x in plan for i in of_piece[x]]
-            self.ids[word] = struct.pack(f"={len(ids)}i", *ids)
-            self.decoded[word] = " ".join(map(self.text_of.__getitem__, ids))
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        last, sizes = self._encoded(self.last, [p[-1] for p in cut])
+        if n.sum() > len(cut):
+            inner, inner_sizes = self._encoded(self.inner, [f for p in cut for f in p[:-1]])
+            final = np.zeros(n.sum(), bool)
+            final[np.cumsum(n) - 1] = True
+            # all fragments in order, each a run of the last ones' ids or of the inner ones'
+            start, size = np.empty(len(final), np.int64), np.empty(len(final), np.int64)
+            start[final], size[final] = np.cumsum(sizes) - sizes, sizes
+            start[~final], size[~final] = np.cumsum(inner_sizes) - inner_sizes + len(last), inner_sizes
+            last = np.concatenate((last, inner))[_runs(start, size)]
+            sizes = np.add.reduceat(size, np.cumsum(n) - n)
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.count = np.concatenate((self.count, sizes))
+        self.pool = np.concatenate((self.pool, last))
 
     @staticmethod
-    def _encoded(tokenizer, fragments: list[str]) -> dict[str, list[int]]:
-        """Ids of each fragment; they are given as the words of one pre-split text."""
-        names = list(dict.fromkeys(fragments))
-        if not names:
-            return {}
-        encoded = tokenizer.encode(names, is_pretokenized=True, add_special_tokens=False)
-        ids, owner = encoded.ids, encoded.word_ids
-        out: dict[str, list[int]] = {n: [] for n in names}
-        for i, o in zip(ids, owner, strict=True):
-            out[names[o]].append(i)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """For each text its ids as packed int32 and their decoded text."""
-        split = [(t or "").encode().split() for t in texts]  # bytes.split cuts at exactly the six ASCII spaces
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
-        self.learn(list(set().union(*split).difference(self.ids)))
-        out = []
-        for words in split:
-            out.append((b"".join(map(self.ids.__getitem__, words)), " ".join(filter(None, map(self.decoded.__getitem__, words)))))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by a space, as the vocabulary's tokenizer (it has no decoder) writes them; specials stay."""
-        return " ".join(self.text_of[i] for i in ids if i in self.text_of)
+    def _encoded(tokenizer, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the fragments, one after the other, and how many each has; they are given as the words of one text."""
+        encoded = tokenizer.encode(fragments, is_pretokenized=True, add_special_tokens=False)
+        ids, owner = np.array(encoded.ids, np.int32), np.array(encoded.word_ids, np.int64)
+        return ids, np.bincount(owner, minlength=len(fragments))
+
+    def encode(self, texts: list[str | None], kept: int = KEPT_PIECES) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        if len(self.place) > kept:
+            self.clear()
+        each = [self.pieces_of(t) for t in texts]
+        new = list(set().union(*each).difference(self.place))
+        if new:
+            self.learn(new)
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        piece = np.fromiter((p for own in each for p in map(self.place.__getitem__, own)), np.int64, n.sum())
+        count = self.count[piece]
+        ids = self.pool[_runs(self.start[piece], count)]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ends = np.cumsum(n)
+        return ids, total[ends] - total[ends - n]
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each of several runs of ids: tokens joined by a space, as the vocabulary's tokenizer (it has no
+        decoder) writes them; specials stay, and numbers that are no token are left out."""
+        known = (ids >= 0) & (ids < len(self.token_size))
+        known[known] = self.token_size[ids[known]] > 1
+        if not known.all():
+            owner = np.repeat(np.arange(len(counts)), counts)[known]
+            ids, counts = ids[known], np.bincount(owner, minlength=len(counts))
+        size = self.token_size[ids]
+        data = self.token_bytes[_runs(self.token_start[ids], size)]
+        total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
+        # the space after a text's last token goes
+        keep = np.ones(len(data), bool)
+        some = counts > 0
+        keep[total[1:][some] - 1] = False
+        offsets = total - np.concatenate(([0], np.cumsum(some)))
+        return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep])).cast(pa.string())
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 _ENCODERS: dict[str, ForcedBoundaryEncoder] = {}
@@ -158,26 +205,25 @@ def encoder(path: str) -> ForcedBoundaryEncoder:
     return _ENCODERS[path]
 
 
-def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded") -> DataFrame:
+def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded", kept: int = KEPT_PIECES) -> DataFrame:
     """``df`` with its token ids (array of int) and, unless ``decoded`` is None, the text that they decode to.
 
-    Columns of ``df`` named like the results are replaced by them.  One pass without a shuffle.
+    Columns of ``df`` named like the results are replaced by them.  One pass without a shuffle; a worker keeps ``kept``
+    pieces or so.
     """
-    kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
+    held = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    schema = T.StructType([*held, T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                done = enc.encode(batch.column(text).to_pylist())
-                flat = np.frombuffer(b"".join(x for x, _ in done), np.int32)
-                offsets = np.cumsum([0, *(len(x) // 4 for x, _ in done)]).astype(np.int32)
-                columns = [batch.column(f.name) for f in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x for _, x in done])] if decoded else []), names=schema.names)
+        for batch in batches:
+            for part in chunks(batch, text, CHUNK):
+                flat, counts = enc.encode(part.column(text).to_pylist(), kept)
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                columns = [part.column(f.name) for f in held] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns + ([enc.decode_many(flat, counts)] if decoded else []), names=schema.names)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in held]).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -187,7 +233,11 @@ def decode_ids(df: DataFrame, path: str, ids: str = "token_ids", decoded: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = [enc.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), pa.array(texts, pa.string())], names=schema.names)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(ids)
+                counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in schema.names[:-1]), enc.decode_many(flat, counts)], names=schema.names)
 
     return df.select(*[F.col(f"`{n}`") for n in schema.names[:-1]]).mapInArrow(run, schema)
