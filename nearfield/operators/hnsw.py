@@ -6,8 +6,8 @@ the shards where they lie and shuffles nothing but results.  A shard has about `
 
 A node's level is drawn from a hash of its id, so builds are repeatable.  A node is linked on each of its levels to the
 nearest ``m`` nodes that came before it, and they to it; a node keeps the nearest of its links, 2 m on the lowest level and
-m above.  As the nearest of a set do not depend on the order in which it was gathered, a shard is built with matrix
-products at once: the result is that of inserting its nodes one by one with a search that misses none, so
+m above.  As the nearest of a set do not depend on the order in which it was gathered, a shard is built, and grows, with
+matrix products: the result is that of inserting its nodes one by one with a search that misses none, so
 ``ef_construction`` sets a floor that is always met.  A search descends greedily and then walks the lowest level with a beam,
 in step for many queries; deleted nodes are walked through and never returned.
 """
@@ -49,11 +49,20 @@ def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
     return np.floor(-np.log(u) / math.log(m)).astype(np.int32)
 
 
-def _linked(vectors: np.ndarray, m: int, cap: int, metric: str) -> np.ndarray:
-    """(n, cap) links of a level's nodes, in order of insertion; -1 where there is none."""
-    n = len(vectors)
-    source, target, far = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for at in range(0, n, _TILE):
+def _linked(vectors: np.ndarray, m: int, cap: int, metric: str, before: np.ndarray) -> np.ndarray:
+    """(n, cap) links of a level's nodes, in order of insertion; -1 where there is none.
+
+    ``before``: the links of the first nodes among themselves, to which the others are added.
+    """
+    n, have = len(vectors), len(before)
+    source, place = np.nonzero(before >= 0)
+    target = before[source, place]
+    far = [np.zeros(0, np.float32)]
+    for at in range(0, len(source), 64 * _TILE):
+        part = slice(at, at + 64 * _TILE)
+        far.append(pair_distances(vectors[source[part]], vectors[target[part]], metric).astype(np.float32))
+    sources, targets = [source.astype(np.int32)], [target.astype(np.int32)]
+    for at in range(have, n, _TILE):
         own = vectors[at : at + _TILE]
         near = np.full((len(own), m), np.inf, np.float32)
         who = np.full((len(own), m), -1, np.int32)
@@ -69,11 +78,11 @@ def _linked(vectors: np.ndarray, m: int, cap: int, metric: str) -> np.ndarray:
             best = np.argsort(near, axis=1, kind="stable")[:, :m]
             near, who = np.take_along_axis(near, best, 1), np.take_along_axis(who, best, 1)
         real = np.isfinite(near)
-        source.append(np.repeat(np.arange(at, at + len(own), dtype=np.int32), real.sum(1)))
-        target.append(who[real])
-        far.append(near[real])
-    a, b, d = np.concatenate(source), np.concatenate(target), np.concatenate(far)
-    a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
+        new, old, d = np.repeat(np.arange(at, at + len(own), dtype=np.int32), real.sum(1)), who[real], near[real]
+        sources += [new, old]
+        targets += [old, new]
+        far += [d, d]
+    a, b, d = np.concatenate(sources), np.concatenate(targets), np.concatenate(far)
     order = np.lexsort((b, d, a))
     a, b = a[order], b[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
@@ -95,10 +104,22 @@ class Graph:
         self.links = links or []
 
     def build(self) -> Graph:
+        """Link all nodes."""
+        return self._link([np.zeros((0, 0), np.int32)] * len(self.members))
+
+    def grown(self, ids: np.ndarray, vectors: np.ndarray) -> Graph:
+        """The graph with more nodes, inserted after its own."""
+        out = Graph(np.concatenate((self.ids, ids)), np.concatenate((self.vectors, vectors.astype(np.float32))), self.config, np.concatenate((self.deleted, np.zeros(len(ids), bool))), np.concatenate((self.levels, levels_of(ids, self.config.m))))
+        return out._link(self.links + [np.zeros((0, 0), np.int32)] * (len(out.members) - len(self.links)))
+
+    def _link(self, before: list[np.ndarray]) -> Graph:
         self.links = []
         for at, own in enumerate(self.members):
-            links = _linked(self.vectors[own], self.config.m, self.config.m * (1 if at else 2), self.config.metric.value)
-            self.links.append(np.where(links >= 0, own[links], -1).astype(np.int32))
+            cap = self.config.m * (1 if at else 2)
+            old = before[at] if len(before[at]) else np.zeros((0, cap), np.int32)
+            old = np.where(old >= 0, np.searchsorted(own, old), -1).astype(np.int32)
+            links = _linked(self.vectors[own], self.config.m, cap, self.config.metric.value, old)
+            self.links.append(np.where(links >= 0, own[links], -1).astype(np.int32) if len(own) else links)
         return self
 
     def _far(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -194,22 +215,48 @@ def shard_of(id_: str, shards: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(id_).cast("long")), shards).cast("int")
 
 
+def shard_limit(config: Config) -> int:
+    """Vectors of a shard, at most about."""
+    return max(1, min(config.shard_rows, SHARD_BYTES // (4 * config.dimension)))
+
+
 def build(df: DataFrame, config: Config, id_: str = "id", vector: str = "vector", shards: int | None = None) -> DataFrame:
     """The table (``SHARDS``) of ``df``'s graphs.  Ids must be distinct."""
     if shards is None:
-        shards = max(1, -(-df.count() // max(1, min(config.shard_rows, SHARD_BYTES // (4 * config.dimension)))))
+        shards = max(1, -(-df.count() // shard_limit(config)))
     rows = df.select(shard_of(id_, F.lit(shards)).alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    schema = T._parse_datatype_string(SHARDS)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
         ids, vectors = vectors_of(table, config.dimension)
         graph = Graph(ids.to_numpy(zero_copy_only=False).astype(np.int64), vectors, config).build()
-        row = graph.packed(table["shard"][0].as_py(), shards)
-        kinds = {"shard": pa.int32(), "shards": pa.int32(), "links": pa.list_(pa.binary())}
-        return pa.table({c: pa.array([row[c]], kinds.get(c, pa.binary())) for c in schema.names})
+        return _table(graph.packed(table["shard"][0].as_py(), shards))
+
+    return rows.groupBy("shard").applyInArrow(run, SHARDS)
+
+
+def _table(row: dict) -> pa.Table:
+    kinds = {"shard": pa.int32(), "shards": pa.int32(), "links": pa.list_(pa.binary())}
+    return pa.table({c: pa.array([row[c]], kinds.get(c, pa.binary())) for c in ("shard", "shards", "ids", "levels", "vectors", "links", "deleted")})
+
+
+def insert(shards: DataFrame, df: DataFrame, config: Config, id_: str = "id", vector: str = "vector") -> DataFrame:
+    """The table with ``df``'s rows inserted into their shards.  Ids must be new; a shard without new rows stays as it is."""
+    n = shards.agg(F.max("shards")).scalar()
+    rows = df.select(shard_of(id_, n).alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), n.alias("shards"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0] if left.num_rows else None
+        empty = Graph(np.zeros(0, np.int64), np.zeros((0, config.dimension), np.float32), config)
+        graph = Graph.unpacked(row, config) if row else empty.build()
+        if right.num_rows:
+            right = right.sort_by("id").combine_chunks()
+            ids, vectors = vectors_of(right, config.dimension)
+            graph = graph.grown(ids.to_numpy(zero_copy_only=False).astype(np.int64), vectors)
+            row = row or right.slice(0, 1).to_pylist()[0]
+        return _table(graph.packed(row["shard"], row["shards"]))
 
-    return rows.groupBy("shard").applyInArrow(run, schema)
+    return shards.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, SHARDS)
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:

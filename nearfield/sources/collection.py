@@ -212,6 +212,23 @@ class Collection:
         if old:
             self.store.delete(old["name"])
 
+    def update_index(self) -> None:
+        """Insert the rows that came after the index into its graphs; deleted ones are marked.
+
+        Where the collection has outgrown its shards twofold, or there is no index, it is built anew.
+        """
+        self._writable()
+        old = self._state["index"]
+        most = 2 * hnsw.shard_limit(self.config)
+        source = self.source()
+        if old is None or source.shards.agg(F.coalesce(F.max(F.octet_length("ids") / 8), F.lit(0))).first()[0] + source.delta.count() / source.shards.count() > most:
+            self.build_index()
+            return
+        seq, name = self._state["seq"], self.store.new_name("index")
+        hnsw.insert(source.shards, source.delta, self.config).write.partitionBy("shard").parquet(f"{self.store.path}/{name}")
+        self._commit(index={"name": name, "seq": seq})
+        self.store.delete(old["name"])
+
     def sync(self) -> None:
         """Every change has been written when its call returns."""
         self._usable()

@@ -94,6 +94,16 @@ def test_links_are_those_of_one_by_one_insertion(metric):
         assert got == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_growing_is_building(metric):
+    v = np.random.default_rng(10).normal(size=(300, 5)).astype(np.float32)
+    whole = graph(v, m=4, metric=metric)
+    part = graph(v[:0], m=4, metric=metric)
+    for a, b in ((0, 1), (1, 170), (170, 170), (170, 300)):
+        part = part.grown(np.arange(a, b), v[a:b])
+    assert len(part.links) == len(whole.links) and all((a == b).all() for a, b in zip(part.links, whole.links, strict=True))
+
+
 def test_tiles_do_not_show(monkeypatch):
     v = np.random.default_rng(9).normal(size=(500, 5)).astype(np.float32)
     one = graph(v).links
@@ -131,3 +141,14 @@ def test_query_blocks_and_text_query_ids(spark, monkeypatch):
     with pytest.raises(InvalidArgument):
         hnsw.search(shards, queries.withColumn("vector", F.slice("vector", 1, 7)), 3, config)
     assert hnsw.search(shards, queries.limit(0), 3, config).count() == 0
+
+
+def test_inserting_into_stored_shards(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))], "id long, vector array<float>").persist()
+    config = Config(8, shard_rows=100)
+    shards = hnsw.build(rows.where("id < 250"), config, shards=4)
+    shards = hnsw.insert(hnsw.remove(shards, rows.where("id = 7").select("id")), rows.where("id >= 250"), config)
+    assert hnsw.count(shards) == 399
+    queries = rows.where("id % 40 = 0").select(F.col("id").alias("query_id"), "vector")
+    assert hnsw.recall(hnsw.search(shards, queries, 10, config), nearest_batch(rows.where("id <> 7"), queries, 10)).first().recall >= 0.95
