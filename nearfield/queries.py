@@ -5,18 +5,22 @@ Distances are ordered raw and rounded to six places in the output alone.
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .cli import main
 from .config import Config, Index, Metric, OpenMode
+from .errors import NearfieldError, error_string
 from .functions.distance import distance, register_sql
 from .operators import hnsw, keymap, knn
 from .plans.filters import filter_column
 from .sources.collection import Collection
-from .sources.store import Store, work_folder
+from .sources.store import Store, stored, work_folder
 
 K = 10
 
@@ -324,6 +328,112 @@ def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
     return found.select((F.col("recall") >= 0.95).alias("enough"))
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.nodes(hnsw.build(embeddings(spark, sf), _hnsw_config()), _hnsw_config())
+
+
+def hnsw_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return _nodes(spark, sf).select("id", "level")
+
+
+def hnsw_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Who is linked to whom on the lowest level of one graph over all rows, stored and read again."""
+    one = _hnsw_config()
+    rows = stored(hnsw.nodes(hnsw.build(embeddings(spark, sf), one, shards=1), one), "nodes")
+    links = rows.select("shard", "id", F.explode(F.col("neighbors")[0]).alias("node"))
+    return links.join(rows.select("shard", "node", F.col("id").alias("neighbor")), ["shard", "node"]).select("id", "neighbor")
+
+
+def hnsw_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks and the live count after a removal, from stored shards into which some rows were inserted later."""
+    rows, config = embeddings(spark, sf), _hnsw_config()
+    shards = stored(hnsw.build(rows.where("id % 3 > 0"), config, shards=2), "shards")
+    shards = stored(hnsw.remove(hnsw.insert(shards, rows.where("id % 3 = 0"), config), rows.where("id % 5 = 0").select("id")), "shards")
+    return hnsw.nodes(shards, config).select("id", "deleted", F.lit(hnsw.count(shards)).cast("long").alias("live"))
+
+
+def error_names(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(i, error_string(i)) for i in (*range(-11, 2), -99)], "code int, name string")
+
+
+def config_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What a configuration makes of defaults, numbers for names and floors, and the code of those that it refuses."""
+    given = [{"dimension": 8}, {"dimension": 8, "metric": 2, "index": 1, "m": 40, "ef_construction": 4, "ef_search": 7}, {"dimension": 0}, {"dimension": 8, "m": 10_001}, {"dimension": 8, "metric": 3}]
+    out = []
+    for i, options in enumerate(given):
+        try:
+            c = Config(**options)
+            out.append((i, 0, c.dimension, c.metric.value, c.index.value, c.m, c.ef_construction, c.ef(10), c.ef(300, 200)))
+        except NearfieldError as e:
+            out.append((i, e.code, *[None] * 7))
+    return spark.createDataFrame(out, "i int, code int, dimension int, metric string, index_type string, m int, ef_construction int, ef_10 int, ef_300 int")
+
+
+def _code(run: Callable[[], object]) -> int:
+    try:
+        run()
+    except NearfieldError as e:
+        return e.code
+    return 0
+
+
+def filter_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Empty filters keep all rows; broken ones have the contract's code."""
+    out = []
+    for text in ("", "  ", None, "k = 1", "k =", "(k", "k = 'x", "AND", "k = 1 OR"):
+        try:
+            where = filter_column(text, F.col("props"))
+            n = -1 if where is not None else _table(spark, sf, "events").count()
+            out.append((text, 0, n))
+        except NearfieldError as e:
+            out.append((text, e.code, None))
+    return spark.createDataFrame(out, "text string, code int, n long")
+
+
+def api_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The codes of a collection's life: opening, changing, closing and opening again."""
+    c = _collection(spark, sf)
+    path = c.store.path
+    first = c.get(1)
+    reader = Collection.open(spark, path, OpenMode.READONLY)
+    steps = [
+        ("insert a live id", lambda: c.insert_one(1, first.vector)),
+        ("insert id 0", lambda: c.insert_one(0, first.vector)),
+        ("insert another length", lambda: c.insert_one(10**6, [1.0])),
+        ("insert broken metadata", lambda: c.insert_one(10**6, first.vector, "{")),
+        ("insert", lambda: c.insert_one(10**6, first.vector, "")),
+        ("get", lambda: c.get_strict(10**6)),
+        ("delete", lambda: c.delete(10**6)),
+        ("get what is gone", lambda: c.get_strict(10**6)),
+        ("delete what is gone", lambda: c.delete(10**6, missing_ok=False)),
+        ("delete what is gone, allowed", lambda: c.delete(10**6)),
+        ("search another length", lambda: c.search([1.0], 1)),
+        ("search with a broken filter", lambda: c.search(first.vector, 1, "a =")),
+        ("change by a reader", lambda: reader.delete(1)),
+        ("open with another length", lambda: Collection.open(spark, path, config=Config(3))),
+        ("open what is not there", lambda: Collection.open(spark, path + "-none", OpenMode.READONLY)),
+        ("sync", c.sync),
+        ("close", c.close),
+        ("use after close", c.count),
+        ("open again", lambda: Collection.open(spark, path, config=Config(64)).sync()),
+    ]
+    return spark.createDataFrame([(i, name, _code(run)) for i, (name, run) in enumerate(steps)], "i int, step string, code int")
+
+
+def cli_output(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines and return codes of the command line."""
+    c = _collection(spark, sf)
+    c.delete([1, 2])
+    out = []
+    for args in (["version"], ["info", c.store.path], ["dump", c.store.path], ["compact", c.store.path], ["info", c.store.path + "-none"]):
+        with contextlib.redirect_stdout(io.StringIO()) as text, contextlib.redirect_stderr(io.StringIO()):
+            code = main(args)
+        lines = text.getvalue().splitlines()
+        said = lines[0].split(" | size")[0] if lines and args[0] in ("version", "info", "compact") else None
+        out.append((" ".join(args[:1]), code, len(lines), said))
+    return spark.createDataFrame(out, "command string, code int, n_lines long, said string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": _knn(Metric.L2),
     "knn_cosine": _knn(Metric.COSINE),
@@ -373,6 +483,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hnsw_checkpoint_roundtrip": hnsw_checkpoint_roundtrip,
     "hnsw_compacted": hnsw_compacted,
     "hnsw_recall": hnsw_recall,
+    "hnsw_levels": hnsw_levels,
+    "hnsw_links": hnsw_links,
+    "hnsw_removed": hnsw_removed,
+    "error_names": error_names,
+    "config_values": config_values,
+    "filter_codes": filter_codes,
+    "api_codes": api_codes,
+    "cli_output": cli_output,
 }
 
 _E = "(SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
@@ -408,6 +526,22 @@ _NUMBER = "try_cast(json_extract_string(props, '$.k') AS DOUBLE)"
 
 _MAP = "SELECT o_orderkey AS key, o_custkey + (o_orderkey % 5 = 0)::INT AS value FROM orders WHERE o_orderkey % 7 <> 0"
 
+# The graphs' contract in SQL: a node's level from a mixed hash of its id, and links to the 16 nearest before it, kept to
+# the 32 nearest of both directions.
+_LEVELS = f"""WITH a AS (SELECT id, ((id::UHUGEINT + {0x9E3779B97F4A7C15}) % {1 << 64})::UBIGINT AS x FROM {_E}),
+b AS (SELECT id, ((xor(x, x >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}) % {1 << 64})::UBIGINT AS x FROM a),
+c AS (SELECT id, ((xor(x, x >> 27)::UHUGEINT * {0x94D049BB133111EB}) % {1 << 64})::UBIGINT AS x FROM b)
+SELECT id, floor(-ln(greatest((xor(x, x >> 31) >> 11)::DOUBLE / {1 << 53}, 1e-9)) / ln(16))::INT AS level FROM c"""
+_LINKS = f"""WITH d AS (SELECT a.id AS a, b.id AS b, {_sql_distance(Metric.L2, 'a.v', 'b.v')} AS far FROM {_E} a, {_E} b WHERE b.id < a.id),
+chosen AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY far, b) <= 16),
+either AS (SELECT a, b, far FROM chosen UNION ALL SELECT b, a, far FROM chosen)
+SELECT a AS id, b AS neighbor FROM either QUALIFY row_number() OVER (PARTITION BY a ORDER BY far, b) <= 32"""
+
+
+def _sql_rows(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
+
+
 ORACLE_SQL: dict[str, str] = {
     **{f"knn_{m.value}": _sql_knn(_E, m) for m in Metric},
     **{f"knn_rescaled_{m.value}": _sql_knn(_SCALED, m) for m in Metric},
@@ -424,6 +558,14 @@ ORACLE_SQL: dict[str, str] = {
     "hnsw_checkpoint_roundtrip": _sql_batch(where="(b.id + 1) % 7 <> 0"),
     "hnsw_compacted": _sql_batch(base=f"(SELECT id, v FROM {_E} WHERE (id + 1) % 7 <> 0 UNION ALL SELECT 999999, embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"),
     "hnsw_recall": "SELECT true AS enough",
+    "hnsw_levels": _LEVELS,
+    "hnsw_links": _LINKS,
+    "hnsw_removed": f"SELECT id, id % 5 = 0 AS deleted, (SELECT count(*) FROM {_E} WHERE id % 5 <> 0) AS live FROM {_E}",
+    "error_names": _sql_rows("code, name", "0, 'VV_OK'", "-1, 'VV_ERR_IO'", "-2, 'VV_ERR_NOMEM'", "-3, 'VV_ERR_INVALID_ARG'", "-4, 'VV_ERR_NOT_FOUND'", "-5, 'VV_ERR_EXISTS'", "-6, 'VV_ERR_CORRUPT'", "-7, 'VV_ERR_WRONG_VERSION'", "-8, 'VV_ERR_LOCKED'", "-9, 'VV_ERR_FILTER_PARSE'", "-10, 'VV_ERR_OUT_OF_RANGE'", "-99, 'VV_ERR_INTERNAL'", "1, 'VV_ERR_UNKNOWN'", "-11, 'VV_ERR_UNKNOWN'"),
+    "config_values": _sql_rows("i, code, dimension, metric, index_type, m, ef_construction, ef_10, ef_300", "0, 0, 8, 'l2', 'hnsw', 16, 200, 100, 300", "1, 0, 8, 'ip', 'flat', 40, 40, 10, 300", *(f"{i}, -3, NULL, NULL, NULL, NULL, NULL, NULL, NULL" for i in (2, 3, 4))),
+    "filter_codes": "SELECT text, 0 AS code, (SELECT count(*) FROM events) AS n FROM (VALUES (''), ('  '), (NULL)) AS t(text) UNION ALL SELECT 'k = 1', 0, -1 UNION ALL SELECT text, -9, NULL FROM (VALUES ('k ='), ('(k'), ('k = ''x'), ('AND'), ('k = 1 OR')) AS t(text)",
+    "api_codes": _sql_rows("i, step, code", *(f"{i}, '{step}', {code}" for i, (step, code) in enumerate([("insert a live id", -5), ("insert id 0", -3), ("insert another length", -3), ("insert broken metadata", -3), ("insert", 0), ("get", 0), ("delete", 0), ("get what is gone", -4), ("delete what is gone", -4), ("delete what is gone, allowed", 0), ("search another length", -3), ("search with a broken filter", -9), ("change by a reader", -3), ("open with another length", -3), ("open what is not there", -4), ("sync", 0), ("close", 0), ("use after close", -3), ("open again", 0)]))),
+    "cli_output": f"WITH n AS (SELECT count(*) - 2 AS n FROM embeddings) SELECT 'version' AS command, 0 AS code, 1 AS n_lines, '{__version__}' AS said UNION ALL SELECT command, 0, 1, 'nearfield {'.'.join(__version__.split('.')[:2])} | dim=64 | metric=l2 | index=flat | vectors=' || n FROM n, (VALUES ('info'), ('compact')) AS t(command) UNION ALL SELECT 'dump', 0, n, NULL FROM n UNION ALL SELECT 'info', 1, 0, NULL",
     "promoted_text_and_numbers": f"SELECT id, rank FROM ({_sql_knn(_META, where='coalesce(n_chars = 16 OR n_chars > 500, false)')})",
     "knn_filtered_eq": _sql_knn(_META, where="coalesce(lang = 'en', false)"),
     "knn_filtered_and_or_not": _sql_knn(_META, where="NOT (coalesce(lang = 'de', false) OR coalesce(lang = 'fr', false)) AND coalesce(n_chars >= 500.5, false)"),
