@@ -8,7 +8,7 @@ quantile of the labelled scores, namely the share of bad labels; the published s
 
 Training reads at most ``MOST_LABELLED`` labelled ids (those with the lowest hash, so reruns agree) and is the only bounded
 part: every row is scored on its whole text.  An id that is labelled twice counts with its greater label, and of rows that
-repeat a labelled id the one with the least text.  Null and empty texts score as texts without words.  Where one label is
+repeat a labelled id the one with the least features.  Null and empty texts score as texts without words.  Where one label is
 missing the score is constant.  Texts of any length are read whole.  Equal texts, ties and repeated rows score alike; an
 empty table gives an empty result; a column named like the score is replaced.
 """
@@ -120,6 +120,10 @@ class PairwiseRanker:
         self.cut = float((raw[k - 1] + raw[k]) / 2)
         self.slope = 1.0
 
+    def __getstate__(self) -> dict:
+        """Without the pairs, which scoring does not need."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("good", "bad", "penalty")}
+
     def loss(self, scaled: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The mean logistic loss of the pairs with the ridge, its gradient and its second derivatives."""
         total, gradient, curve = 0.0, self.penalty * weights, np.diag(self.penalty)
@@ -143,17 +147,17 @@ def labelled_features(docs: DataFrame, labels: DataFrame, text: str = "text", do
     wanted = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
     wanted = wanted.orderBy(F.xxhash64(doc_id), doc_id).limit(most)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted.select(F.col(doc_id).alias("id"), "label")), "id")
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # at most ``most`` rows
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 x = text_features(part.column("text"))
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), flat], names=schema.names)
 
-    found = texts.select("id", "label", "text").mapInArrow(run, schema).toArrow().combine_chunks().sort_by("id")
+    rows = texts.select("id", "label", "text").mapInArrow(run, schema).groupBy("id", "label").agg(F.min("x").alias("x"))  # at most ``most``
+    found = rows.toArrow().combine_chunks().sort_by("id")
     return np.asarray(found["x"].combine_chunks().flatten(), float).reshape(-1, WIDTH), found["label"].to_numpy()
 
 

@@ -128,6 +128,23 @@ def test_similar_texts_are_linked(spark):
     assert found.tolist() == pytest.approx([slow_jaccard(rows[0][1], t) for _, t in rows[:5]])
 
 
+def test_all_alike_pairs_of_the_tables_are_linked(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    sets = {}
+    for r in df.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    component = {r.doc_id: r.component_id for r in simhash.components(df, words=5, similarity=0.8).collect()}
+    alike = 0
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                alike += 1
+                assert component[i] == component[j]
+    assert alike > 5
+
+
 def lookalikes(n):
     """Pairs of copies at about 0.85 in one family at about 0.73, and the labels of all that reach 0.8."""
     rng = np.random.default_rng(5)
