@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from ..errors import InvalidArgument
 from ..functions.distance import block_distances, pair_distances
 from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, checked_k, vectors_of
 
@@ -271,10 +270,8 @@ def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: in
     effort = config.ef(k, ef)
     spark = shards.sparkSession
     rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<float>").alias("v"))
-    if not rows.where(F.coalesce(F.size("v") != config.dimension, F.lit(True))).isEmpty():
-        raise InvalidArgument(f"a query needs {config.dimension} elements")
     schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
-    blocks = _query_blocks(rows, np.dtype("f4"), QUERY_BLOCK_BYTES, 1 << 20)
+    blocks = _query_blocks(rows, np.dtype("f4"), QUERY_BLOCK_BYTES, 1 << 20, config.dimension)
     done: list[DataFrame] = []
     ahead = next(blocks, None)
     while ahead is not None:

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config, Metric
+from ..config import Config
 from ..errors import InvalidArgument
 from ..operators import hnsw
-from ..operators.knn import _top, checked_k, nearest, nearest_batch, ranked
+from ..operators.knn import _top, checked_k, nearest_batch, nearest_rows, ranked
 from .filters import filter_column
 
 #: How many times k a filtered index search fetches before the filter.
@@ -50,8 +50,7 @@ def execute(query: KnnQuery, source: Source) -> DataFrame:
     if len(query.vector) != source.config.dimension:
         raise InvalidArgument(f"a query needs {source.config.dimension} elements")
     where = filter_column(query.filter, F.col("metadata"), source.promoted)
-    norm = "norm" if source.config.metric is Metric.COSINE and "norm" in source.rows.columns else None
-    exact = nearest(source.rows, query.vector, query.k, source.config.metric, where=where, norm=norm)
+    exact = nearest_rows(source.rows, query.vector, query.k, source.config.metric, where=where)
     if source.shards is None or not query.k:
         return exact
     spark = source.rows.sparkSession
@@ -59,7 +58,7 @@ def execute(query: KnnQuery, source: Source) -> DataFrame:
     one = spark.createDataFrame([(0, list(query.vector))], "query_id long, vector array<double>")
     found = hnsw.search(source.shards, one, fetch, source.config, query.ef).select("id", "distance")
     if source.delta is not None:
-        found = found.unionByName(nearest(source.delta, query.vector, fetch, source.config.metric, where=where, norm=norm).select("id", "distance"))
+        found = found.unionByName(nearest_rows(source.delta, query.vector, fetch, source.config.metric, where=where).select("id", "distance"))
     if where is not None:
         found = found.join(source.rows.where(where).select("id"), "id", "left_semi")
     best = ranked(found.dropDuplicates(["id"]).orderBy("distance", "id").limit(query.k))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.functions.distance import exact_distances
-from nearfield.operators.knn import nearest, nearest_batch
+from nearfield.operators.knn import nearest, nearest_batch, nearest_rows
 
 
 def table(spark, rows):
@@ -116,3 +116,22 @@ def test_a_filter_on_batches_comes_first(spark):
     rows = table(spark, [(i, (i, 0)) for i in range(20)])
     queries = rows.where("id = 0").select(F.col("id").alias("query_id"), "vector")
     assert [r.id for r in nearest_batch(rows, queries, 3, where=F.col("id") > 10).orderBy("rank").collect()] == [11, 12, 13]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_one_query_either_way(spark, metric):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, (200, 5)))], "id long, vector array<float>").repartition(3)
+    for query in ([0.9, 0.1, -0.3, 0.2, 1.7], [0.0] * 5, [1.0] * 4, [float("nan")] * 5, []):
+        a, b = (found(f(rows, query, 9, metric, where=F.col("id") > 20)) for f in (nearest, nearest_rows))
+        assert [i for i, _ in a] == [i for i, _ in b] and [d for _, d in a] == pytest.approx([d for _, d in b], abs=1e-12)
+
+
+def test_many_queries_come_partition_by_partition(spark, monkeypatch):
+    from nearfield.operators import knn
+
+    rows = table(spark, [(i, (i, 0)) for i in range(50)])
+    queries = rows.select(F.col("id").alias("query_id"), "vector").repartition(3)
+    one = sorted(map(tuple, nearest_batch(rows, queries, 2).collect()))
+    monkeypatch.setattr(knn, "FEW_QUERIES", 4)
+    assert sorted(map(tuple, nearest_batch(rows, queries, 2).collect())) == one and len(one) == 100
