@@ -8,8 +8,8 @@ A node's level is drawn from a hash of its id, so builds are repeatable.  A node
 nearest ``m`` nodes that came before it, and they to it; a node keeps the nearest of its links, 2 m on the lowest level and
 m above.  As the nearest of a set do not depend on the order in which it was gathered, a shard is built, and grows, with
 matrix products: the result is that of inserting its nodes one by one with a search that misses none, so
-``ef_construction`` sets a floor that is always met.  A search descends greedily and then walks the lowest level with a beam,
-in step for many queries; deleted nodes are walked through and never returned.
+``ef_construction`` sets a floor that is always met.  A search takes the nearest nodes of an upper level and walks the lowest
+level from them with a beam, in step for many queries; deleted nodes are walked through and never returned.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, checked_k, vectors_of
 SHARDS = "shard int, shards int, ids binary, levels binary, vectors binary, links array<binary>, deleted binary"
 SHARD_BYTES = 64 << 20
 _TILE = 1024
-#: Queries that walk a graph in step.
-_STEP_QUERIES = 256
+#: Queries that walk a graph in step, and nodes that each walks on from in a step.
+_STEP_QUERIES, _AT_ONCE = 256, 4
+#: Nodes of an upper level that are compared with each query, at most, and how many of them the walk begins with.
+_SCANNED, _STARTS = 1 << 15, 16
 
 
 def _hash64(ids: np.ndarray) -> np.ndarray:
@@ -141,18 +143,27 @@ class Graph:
         place = np.full(len(self.ids), -1, np.int32)
         place[self.members[level]] = np.arange(len(self.members[level]), dtype=np.int32)
         near, nodes = np.full((n, width), np.inf, np.float32), np.full((n, width), -1, np.int32)
-        near[:, 0], nodes[:, 0] = self._far(queries, starts[:, None])[:, 0], starts
-        todo = np.zeros((n, width), bool)  # not walked from yet
-        todo[:, 0] = True
+        first = starts[:, :width]
+        near[:, : first.shape[1]], nodes[:, : first.shape[1]] = self._far(queries, first), first
+        todo = nodes >= 0  # not walked from yet
         seen = np.zeros((n, len(self.ids) + 1), bool)  # the last stands for -1
-        seen[np.arange(n), starts] = seen[:, -1] = True
+        seen[np.arange(n)[:, None], first] = seen[:, -1] = True
         active = np.arange(n)
+        at_once = min(_AT_ONCE, width)
         while len(active):
-            at = np.where(todo[active], near[active], np.inf).argmin(1)
-            todo[active, at] = False
-            next_ = self.links[level][place[nodes[active, at]]]
-            next_ = np.where(seen[active[:, None], next_], -1, next_)
-            seen[active[:, None], next_] = True
+            # the nearest few that are still to do, each one's new neighbours, and then the best of all
+            waiting = np.where(todo[active], near[active], np.inf)
+            pick = np.argpartition(waiting, at_once - 1, axis=1)[:, :at_once] if at_once < width else np.broadcast_to(np.arange(width), waiting.shape)
+            real = np.isfinite(np.take_along_axis(waiting, pick, 1))
+            new = []
+            for i in range(at_once):
+                todo[active, pick[:, i]] = False
+                own = np.where(real[:, i], nodes[active, pick[:, i]], self.members[level][0])
+                next_ = self.links[level][place[own]]
+                next_ = np.where(seen[active[:, None], next_] | ~real[:, i, None], -1, next_)
+                seen[active[:, None], next_] = True
+                new.append(next_)
+            next_ = np.concatenate(new, 1)
             used = int((next_ >= 0).sum(1).max())
             if used:
                 if used < next_.shape[1]:  # the new ones first, so that fewer columns are computed
@@ -166,6 +177,25 @@ class Graph:
             active = active[todo[active].any(1)]
         return near, nodes
 
+    def _starts(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, at most _STARTS) nodes to walk the lowest level from: near ones of the level above.
+
+        The lowest upper level that is small enough is searched by a matrix product, which costs less than a walk from the
+        top and ends in no false valley; levels between, if any, are walked with a beam.  Where all levels are too large
+        the walk begins with the first of the tallest.
+        """
+        small = [at for at in range(1, len(self.members)) if len(self.members[at]) <= _SCANNED]
+        if small:
+            own = self.members[small[0]]
+            take = min(_STARTS, len(own))
+            far = block_distances(queries, self.vectors[own], self.config.metric.value)
+            starts = own[np.argpartition(far, take - 1, axis=1)[:, :take]]
+        else:
+            starts = np.full((len(queries), 1), self.members[-1][0], np.int32)
+        for level in range((small[0] if small else len(self.members)) - 1, 0, -1):
+            starts = self._beams(queries, starts, _STARTS, level)[1]
+        return starts
+
     def search_many(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node, distance) of at most k live nodes each, by (distance, id); distances are exact."""
         live = int((~self.deleted).sum())
@@ -178,10 +208,7 @@ class Graph:
         out = []
         for at in range(0, len(queries), step := max(1, min(_STEP_QUERIES, (256 << 20) // (len(self.ids) + 1)))):
             own = queries[at : at + step].astype(np.float32)
-            starts = np.full(len(own), self.members[-1][0], np.int32)
-            for level in range(len(self.members) - 1, 0, -1):
-                starts = self._beams(own, starts, 1, level)[1][:, 0]
-            _, nodes = self._beams(own, starts, width, 0)
+            _, nodes = self._beams(own, self._starts(own), width, 0)
             q, c = np.nonzero((nodes >= 0) & ~self.deleted[nodes])
             node = nodes[q, c].astype(np.int64)
             far = pair_distances(own[q], self.vectors[node], self.config.metric)

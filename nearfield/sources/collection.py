@@ -221,11 +221,14 @@ class Collection:
         old = self._state["index"]
         most = 2 * hnsw.shard_limit(self.config)
         source = self.source()
-        if old is None or source.shards.agg(F.coalesce(F.max(F.octet_length("ids") / 8), F.lit(0))).first()[0] + source.delta.count() / source.shards.count() > most:
+        if old is not None and source.delta is None and not any(t["seq"] > old["seq"] for t in self._state["tombstones"]):
+            return
+        delta = source.rows.limit(0) if source.delta is None else source.delta
+        if old is None or source.shards.agg(F.coalesce(F.max(F.octet_length("ids") / 8), F.lit(0))).first()[0] + delta.count() / source.shards.count() > most:
             self.build_index()
             return
         seq, name = self._state["seq"], self.store.new_name("index")
-        hnsw.insert(source.shards, source.delta, self.config).write.partitionBy("shard").parquet(f"{self.store.path}/{name}")
+        hnsw.insert(source.shards, delta, self.config).write.partitionBy("shard").parquet(f"{self.store.path}/{name}")
         self._commit(index={"name": name, "seq": seq})
         self.store.delete(old["name"])
 
@@ -255,7 +258,8 @@ class Collection:
             if any(t["seq"] > index["seq"] for t in self._state["tombstones"]):
                 later = self._tombstones().where(F.col("dead_seq") > index["seq"]).select(F.col("dead_id").alias("id"))
                 shards = hnsw.remove(shards, later)
-        return Source(self.config, self._live(), shards, self._live(index["seq"]) if index else None, self._promoted())
+        later = index is not None and any(x["seq"] > index["seq"] for x in self._state["segments"])
+        return Source(self.config, self._live(), shards, self._live(index["seq"]) if later else None, self._promoted())
 
     def get(self, id_: int) -> Row | None:
         """(id, vector, metadata), or None."""
