@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 SYMBOLS = "#*$%&|<>"
-SPACES = "\t\n\x0b\f\r "
 WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -52,20 +51,27 @@ def repeat_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_bound(pairs, covered))
 
-    window = lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)])
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), window)
-    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_bound(hashes, repeated))
+    def windows(each: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(each) - WINDOW), lambda i: F.xxhash64(*[each[i + k] for k in range(WINDOW)]))
+
+    # a word is hashed once, not once a window
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(_bound(_bound(each, windows), repeated))
 
 
 def counted(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(body, SPACES, "")
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = df.withColumn("__words", F.filter(F.split(body, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # only the first and the last part can be empty
+    found = F.split(body, r"[\x20\x09-\x0D]+", -1)
+    empty = lambda at: (F.element_at(found, at) == "").cast("int")
+    out = df.withColumn("__found", found)
+    found = F.col("__found")
+    out = out.withColumn("__words", F.slice(found, 1 + empty(1), F.greatest(F.size(found) - empty(1) - empty(-1), F.lit(0)))).drop("__found")
     out = out.withColumn("n_words", F.size("__words").cast("long"))
-    out = out.withColumn("word_chars", F.length(bare).cast("long"))
-    out = out.withColumn("n_symbols", (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
+    out = out.withColumn("n_symbols", F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"))
     out = out.withColumn("n_dup_lines", _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     out = out.withColumn("n_repeat_words", repeat_words(F.col("__words"))).drop("__words")
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
