@@ -348,6 +348,7 @@ def _large_links(members: DataFrame, texts: DataFrame, similarity: float, words:
     held = written(texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(sets, "node long, shingles array<long>, size long"), "shingles")
     sized = members.select("node", "choice", "bits").join(held.select("node", "size"), "node")
     groups = sized.groupBy("choice", "bits").agg(F.sum("size").alias("all")).select("choice", "bits", F.when(F.col("all") <= limit, 1).otherwise(F.ceil(F.col("all") * 2 / limit)).cast("int").alias("groups"))
+    groups = written(groups, "groups")  # so that Spark knows its size and does not deal the members by shard to join it
     own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.least(g, own).cast("long") * (1 << 31) + F.greatest(g, own))
     rows = members.select("node", "choice", "bits").join(groups, ["choice", "bits"]).select("node", "choice", "bits", F.explode(cells).alias("cell")).join(held, "node")
