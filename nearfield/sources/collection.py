@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,24 @@ from ..operators import hnsw
 from ..plans.executor import KnnQuery, Source, execute, execute_batch
 from .store import Store
 
+def _is_json(text: str) -> bool:
+    """Whether ``try_parse_json`` would take it (no doubled keys, no NaN or infinity) and nothing follows the value."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key is doubled")
+        return dict(pairs)
+
+    def refused(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        json.loads(text, object_pairs_hook=once, parse_constant=refused)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 COLUMNS = "id long, vector array<float>, metadata string, norm double, seq long"
 
 
@@ -131,20 +150,24 @@ class Collection:
     def insert(self, df: DataFrame, id_: str = "id", vector: str = "vector", metadata: str | None = "metadata") -> None:
         """Append all rows or none.  Ids are positive and new; vectors are whole and finite; metadata is JSON or null."""
         self._writable()
-        seq = self._state["seq"] + 1
         meta = F.col(metadata).cast("string") if metadata and metadata in df.columns else F.lit(None).cast("string")
-        rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), F.nullif(meta, F.lit("")).alias("metadata"))
-        rows = rows.withColumn("norm", squared_norm(F.col("vector"))).withColumn("seq", F.lit(seq).cast("long"))
-        for field, kind in self._state["promoted"]:
-            rows = rows.withColumn(f"p_{field}", F.get_json_object("metadata", "$." + field).try_cast(kind))
-        name = self.store.new_name("segment")
-        rows.write.parquet(f"{self.store.path}/{name}")
+        name, segments = self._stage(df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), F.nullif(meta, F.lit("")).alias("metadata")))
         try:
             self._check(self._read([name], self._schema()))
         except Exception:
             self.store.delete(name)
             raise
-        self._commit(seq=seq, segments=[*self._state["segments"], {"name": name, "seq": seq}])
+        self._commit(**segments)
+
+    def _stage(self, rows: DataFrame) -> tuple[str, dict]:
+        """A new segment of rows (id, vector, metadata): its name, and what a commit changes to bring it in."""
+        seq = self._state["seq"] + 1
+        rows = rows.withColumn("norm", squared_norm(F.col("vector"))).withColumn("seq", F.lit(seq).cast("long"))
+        for field, kind in self._state["promoted"]:
+            rows = rows.withColumn(f"p_{field}", F.get_json_object("metadata", "$." + field).try_cast(kind))
+        name = self.store.new_name("segment")
+        rows.write.parquet(f"{self.store.path}/{name}")
+        return name, {"seq": seq, "segments": [*self._state["segments"], {"name": name, "seq": seq}]}
 
     def _check(self, new: DataFrame) -> None:
         """Rules of a staged segment: one pass, a group by id, and a join with the live ids."""
@@ -165,9 +188,19 @@ class Collection:
                 raise AlreadyExists(f"id {there.id}")
 
     def insert_one(self, id_: int, vector: Sequence[float], metadata: str | None = None) -> None:
-        if len(vector) != self.config.dimension:
-            raise InvalidArgument(f"a vector needs {self.config.dimension} elements")
-        self.insert(self.spark.createDataFrame([(id_, [float(x) for x in vector], metadata or None)], "id long, vector array<float>, metadata string"))
+        """``insert`` of one row, which is checked here and not by jobs."""
+        self._writable()
+        row = np.asarray(vector, np.float32)
+        if row.shape != (self.config.dimension,) or not np.isfinite(row).all():
+            raise InvalidArgument(f"a vector needs {self.config.dimension} finite elements")
+        if not 1 <= id_ < 1 << 63:
+            raise InvalidArgument("a row's id")
+        if metadata and not _is_json(metadata):
+            raise InvalidArgument("a row's metadata")
+        if self.exists(id_):
+            raise AlreadyExists(f"id {id_}")
+        made = self.spark.createDataFrame([(id_, row.tolist(), metadata or None)], "id long, vector array<float>, metadata string")
+        self._commit(**self._stage(made.coalesce(1))[1])
 
     def delete(self, ids: int | Sequence[int] | DataFrame, missing_ok: bool = True) -> None:
         """Tombstones for the live ones of ``ids``.  Strictly, one that isn't live is an error, and nothing changes."""

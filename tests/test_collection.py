@@ -1,6 +1,8 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield import errors as E
 from nearfield.cli import main
@@ -86,6 +88,23 @@ def test_a_bad_insert_changes_nothing(spark, path, bad, error):
     assert c.count() == 20 and not c.exists(50)
 
 
+def test_one_row_is_checked_like_many(spark, path):
+    c = made(spark, path)
+    for id_, vector, metadata, error in [(0, (1, 1), None, E.InvalidArgument), (2**63, (1, 1), None, E.InvalidArgument), (50, (1,), None, E.InvalidArgument), (50, (1, float("nan")), None, E.InvalidArgument), (50, (1, 1e39), None, E.InvalidArgument), (7, (1, 1), None, E.AlreadyExists)]:
+        with pytest.raises(error), np.errstate(over="ignore"):
+            c.insert_one(id_, vector, metadata)
+    texts = ['{"a": 1}', "5", '"x"', "null", "[1, 2.5e3]", "{bad", '{"a": 1, "a": 2}', "NaN", "", " ", '{"a": NaN}', "tru"]
+    taken = spark.createDataFrame([(t,) for t in texts], "t string").select(F.try_parse_json("t").isNotNull()).collect()
+    for i, (text, (ok,)) in enumerate(zip(texts, taken, strict=True)):
+        try:
+            c.insert_one(100 + i, (1, 2), text)
+            assert ok or not text, text
+        except E.InvalidArgument:
+            assert not ok, text
+    c.insert_one(60, (3, 4), '{"n": 9}')
+    assert c.search((3, 4), 1).first().id == 60 and c.get(60).metadata == '{"n": 9}'
+
+
 def test_errors_of_open_search_delete(spark, path):
     with pytest.raises(E.NotFound):
         Collection.open(spark, path, OpenMode.READONLY)
