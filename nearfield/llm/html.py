@@ -3,9 +3,9 @@
 First pass: every page's elements are walked, and each container that holds blocks of text gets a score: the characters
 in its own blocks, less those inside links, and nothing for elements that by tag or by class name are menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments.  A wrapper counts what its inner containers have, in full if
-it is one text with them (paragraphs or headings of its own, or inner containers of one kind, such as sections), else less
-a tenth, as do the body, where boilerplate lies, and whatever is round an article or main element; so the main column of a
-page wins over the page.  A container's path is its chain of tags with generalised
+it is one text with them (paragraphs or headings of its own, inner containers of one kind, such as sections, or two of which
+one has the title), else less a tenth, as do the body, where boilerplate lies (unless it holds sections alone), and whatever is round an article or main
+element; so the main column of a page wins over the page.  A container's path is its chain of tags with generalised
 classes (digits become #).  In Spark, each page votes for its best path with its score's share; each host's path with the
 most votes wins, and all hosts' votes together give the fallback.  Second pass: a page is read again at its host's
 winning path; a page that has no such container, or finds no text there, uses the overall path and then its own best one.
@@ -52,10 +52,13 @@ NAMED = frozenset("div section ul ol dl table tbody td tr address details figure
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header "
     "masthead sidebar aside widget widgets cookie cookies consent gdpr notice alert popup modal overlay subscribe newsletter signup login comment comments disqus "
-    "reply replies respond complementary contentinfo copyright pagination pager".split()
+    "reply replies respond complementary contentinfo copyright pagination pager commentlist comments-area page-footer page-nav post-comments post-nav post-navigation "
+    "disqus_thread".split()
 )
+#: Ids of what readers wrote, which no article's part is taken for.
+COMMENT_IDS = frozenset("comments comments-area commentlist comment-list respond disqus disqus_thread".split())
 SOFT_NOISE = frozenset("share sharing social form search side related recommended discussion legal skip toolbar".split())
-BESIDE = frozenset("top bottom left right main site page post box block wrap wrapper container list item bar area inner outer primary secondary global fixed content section links buttons policy us".split())
+BESIDE = frozenset("top bottom left right main site box block wrap wrapper container list bar area inner outer primary secondary global fixed links buttons policy us".split())
 #: A soft block with fewer characters goes.
 SOFT_LEAST = 100
 #: Blocks that make a wrapper one text with its inner containers.
@@ -135,22 +138,24 @@ def _attributes(html: str, at: int) -> tuple[int, dict[str, str] | None]:
 def noise_of(tag: str, attributes: dict[str, str], in_article: bool) -> str:
     """Whether a block container is boilerplate by its names: "yes", "soft" or "".  Headings and inline elements never are.
 
-    A name counts if all its hyphened parts are words of boilerplate or stand beside such words; in an article only a
-    class or role that is such a word as a whole.  An id counts as a whole, but not a section's, as it may name what the
-    section is about.
+    A name counts if it is a word of boilerplate, or all its hyphened parts are or stand beside such words; in an article
+    only a class or role that is such a word as a whole.  An id counts as a whole, but not a section's or one in an
+    article, as it may name what the section is about, unless it is that of reader comments.
     """
     if tag not in NAMED or not attributes:
         return ""
     names = [unescape(attributes[a]).lower() for a in ("class", "role") if a in attributes]
     found = ""
     for name in " ".join(names).split():
-        parts = [name] if in_article else [p.rstrip("0123456789") for p in re.split(r"[-_]+", name) if p]
+        parts = [name] if in_article or name in NOISE else [p.rstrip("0123456789") for p in re.split(r"[-_]+", name) if p]
         if all(p in NOISE or p in SOFT_NOISE or p in BESIDE or not p for p in parts):
             if any(p in NOISE for p in parts):
                 return "yes"
             if any(p in SOFT_NOISE for p in parts):
                 found = "soft"
     own = attributes.get("id", "").strip().lower()
+    if own in COMMENT_IDS:
+        return "yes"
     if not in_article and tag != "section":
         found = "yes" if own in NOISE else found or ("soft" if own in SOFT_NOISE else "")
     return found
@@ -323,22 +328,28 @@ class Page:
     def scores(self) -> list[float]:
         """Of each container: its blocks' text outside links, and its inner containers' (see the module)."""
         n = len(self.containers)
-        own, one_text = [0.0] * n, [False] * n
+        own, one_text, titled, title_inside = [0.0] * n, [False] * n, [False] * n, [False] * n
         for b in self.blocks:
             if not b.link:
                 own[b.container] += len(b.text)
                 one_text[b.container] |= b.tag in PROSE and self.containers[b.container].tag != "body"
+            titled[b.container] |= b.tag == "h1"
         inner, kinds = [0.0] * n, [None] * n  # the label of the inner containers with text ("" if they differ), how many
         marked = [False] * n  # whether an article lies inside
         out = [0.0] * n
         for i in range(n - 1, -1, -1):  # children come after their parents
             c = self.containers[i]
-            alike = kinds[i] is not None and kinds[i][0] != "" and kinds[i][1] > 1
+            kind, many = kinds[i] or ("", 0)
+            if c.tag == "body":
+                alike = many > 1 and kind.startswith("section")
+            else:
+                alike = many > 1 and (kind != "" or (many == 2 and title_inside[i]))
             out[i] = own[i] + inner[i] * (1.0 if (one_text[i] or alike) and not marked[i] else 0.9)
             if c.tag in ("article", "main"):
                 out[i] *= 1.2
             if c.parent >= 0 and out[i]:
                 marked[c.parent] |= marked[i] or c.tag in ("article", "main")
+                title_inside[c.parent] |= titled[i]
                 inner[c.parent] += out[i]
                 name, before = c.chain[1], kinds[c.parent]
                 kinds[c.parent] = (name, 1) if before is None else (name if before[0] == name else "", before[1] + 1)

@@ -296,6 +296,9 @@ def test_slug_ids_are_no_boilerplate(outer):
         ("<div class='form-of-art'><p>" + "On the form of art. " * 20 + "</p></div>", ("On the form of art. " * 20).strip()),
         ("<article><p>One</p><div class=share><p>" + "A share of the whole is what it is about. " * 5 + "</p></div><div class=share><a>Tweet</a></div></article>", "One\n" + ("A share of the whole is what it is about. " * 5).strip()),
         ("<body><div class=cookie-notice>Cookies</div><div class='sidebar left'>Also</div><div class=main-nav>Nav</div><div class=x><p>Text &lt;b&gt;&#x41;</p></div></body>", "Text <b>A"),
+        ("<article><p>One</p><section id=comments><p>" + "A reader says so. " * 20 + "</p></section><div id=respond>Say</div></article><ol class=comment-list><li>" + "Another says no. " * 20 + "</ol>", "One"),
+        ("<body><div class=post><div class=post-header><h1>Head</h1></div><div class=entry-content><p>" + "Body text. " * 9 + "</p></div><div class=page-footer>Foot</div></div></body>", "Head\n" + ("Body text. " * 9).strip()),
+        ("<body><section><p>" + "Long part. " * 50 + "</p></section><section><p>End</p></section></body>", ("Long part. " * 50).strip() + "\nEnd"),
         ("<div class=a><p title='a > b'>One<!-- <p>no</p> --> two<![CDATA[ no ]]> three", "One two three"),
         ("<p>One</p><!-- unclosed <p>Two</p>", "One"),
         ("<p>One</p><a href='x", "One"),
