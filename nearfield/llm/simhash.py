@@ -409,13 +409,16 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     bands = None if similarity is None else "bands"
     rows = written(fingerprints(texts, words=words, seed=seed, bands=bands), "fingerprints")
     name = F.coalesce("first_id", F.lit(NAMELESS).bitwiseOR(F.col("fingerprint").bitwiseAND(F.lit(NAMELESS - 1))))
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", F.col("doc_id")).alias("bands")] if bands else [])).withColumn("node", name)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("bands")) if bands else None
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", first).alias("bands")] if bands else [])).withColumn("node", name)
     nodes = written(nodes, "nodes")
     edges = links(nodes.select("node", "fingerprint"), radius=radius)
     if similarity is not None:
-        # where a row repeats the id, the least of its texts
-        first = texts.join(nodes.where("first_id is not null").select(F.col("first_id").alias("doc_id"), "node"), "doc_id").groupBy("node").agg(F.min("text").alias("text"))
-        edges = edges.unionByName(similar_links(nodes.where("first_id is not null").select("node", "bands"), first, similarity, words))
+        # a node's name is the id of its first text
+        named = texts.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+        if not rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            named = named.groupBy("node").agg(F.min("text").alias("text"))
+        edges = edges.unionByName(similar_links(nodes.where("first_id is not null").select("node", "bands"), named, similarity, words))
     linked = connected_components(edges)
     of_node = nodes.select("node", "fingerprint").join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     of_node = of_node.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
