@@ -144,6 +144,25 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
+#: Keys that a join may take for hot, at most.
+HOT_KEYS = 1000
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and in ``n`` how many of ``rows`` have it.
+
+    A key that more than a thousandth of the rows have would make one task long.  There are fewer than ``HOT_KEYS`` of
+    those, so their part of the table is broadcast and their rows stay where they are; all others meet in the shuffle.
+    Both are read more than once, so they should be written tables.  ``how``: inner or left.
+    """
+    most = max(HOT_KEYS, rows.count() // HOT_KEYS)
+    hot = table.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(table.drop(n), key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(n) <= most).drop(n), key, how)
+    return rows.join(F.broadcast(hot.drop(n)), key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of ``edges`` the smallest node that it can reach.
 

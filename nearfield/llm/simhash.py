@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, connected_components, mixed, tidy, written
+from .common import chunks, connected_components, join_skewed, mixed, tidy, written
 from .substring import Shingles
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -410,7 +410,7 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     rows = written(fingerprints(texts, words=words, seed=seed, bands=bands), "fingerprints")
     name = F.coalesce("first_id", F.lit(NAMELESS).bitwiseOR(F.col("fingerprint").bitwiseAND(F.lit(NAMELESS - 1))))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("bands")) if bands else None
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), *([F.min_by("bands", first).alias("bands")] if bands else [])).withColumn("node", name)
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), *([F.min_by("bands", first).alias("bands")] if bands else [])).withColumn("node", name)
     nodes = written(nodes, "nodes")
     edges = links(nodes.select("node", "fingerprint"), radius=radius)
     if similarity is not None:
@@ -420,9 +420,9 @@ def components(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
             named = named.groupBy("node").agg(F.min("text").alias("text"))
         edges = edges.unionByName(similar_links(nodes.where("first_id is not null").select("node", "bands"), named, similarity, words))
     linked = connected_components(edges)
-    of_node = nodes.select("node", "fingerprint").join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    of_node = of_node.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
-    return rows.join(of_node, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    of_node = nodes.select("node", "fingerprint", "n").join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"), "n")
+    of_node = written(of_node.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id"))), "components")
+    return join_skewed(rows.select("doc_id", "fingerprint"), of_node, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def hex_digits(fingerprint: Column) -> Column:

@@ -35,6 +35,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_with_hot_keys_are_whole(spark, how, monkeypatch):
+    rows = [(i, i % 7 if i % 3 else 100) for i in range(600)] + [(1000, 55), (1001, None)]
+    df = common.written(spark.createDataFrame(rows, "a long, k long"), "rows")
+    table = df.where("k <> 55").groupBy("k").agg(F.count("*").alias("n"), F.min("a").alias("least"))
+    table = common.written(table, "table")
+    want = sorted(map(tuple, df.join(table.drop("n"), "k", how).select("a", "k", "least").collect()), key=str)
+    for hot in (1000, 50, 1):
+        monkeypatch.setattr(common, "HOT_KEYS", hot)
+        got = common.join_skewed(df, table, "k", how=how)
+        assert sorted(map(tuple, got.select("a", "k", "least").collect()), key=str) == want
+    monkeypatch.setattr(common, "HOT_KEYS", 100)
+    assert "BroadcastHashJoin" in common.join_skewed(df, table, "k")._jdf.queryExecution().toString()
+
+
 def test_word_hashes():
     texts = ["a b  a", None, "", "a", " b\na ", "é a\x0bb\x85 A"]
     w = common.Words(pa.array(texts, pa.string()))
