@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, tidy
 
 #: Bytes of text encoded at once, unless one text alone is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pieces kept by a worker; a full dictionary is emptied, which costs time and changes nothing else.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 
 
 #: Below this code point letters, numbers and lower case are the same in every Unicode version, and all text is NFC.
@@ -59,7 +59,8 @@ class ForcedBoundaryEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        whole = Tokenizer.from_file(path)
+        self.normalizer = whole.normalizer
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         letters = byte_letters()
         of_letter = {c: b for b, c in letters.items()}
@@ -74,13 +75,15 @@ class ForcedBoundaryEncoder:
         self.pieces = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.text_of = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        self.text_of = {i: t for t, i in whole.get_vocab(with_added_tokens=True).items()}
         # the tokens' texts, a space after each
         table = [self.text_of.get(i, "").encode() + b" " for i in range(max(self.text_of) + 1)]
         self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.token_size = np.array(list(map(len, table)), np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.clear()
+        del whole, spec, bare, table  # tens of megabytes in each worker
+        tidy()
 
     def clear(self) -> None:
         """Forget all pieces but the special tokens, which no other piece equals."""
@@ -117,7 +120,7 @@ class ForcedBoundaryEncoder:
                 continue
             out += _LATIN_PIECES.findall(" ".join(run).lower())
             run.clear()
-            word = self.whole.normalizer.normalize_str(word)
+            word = self.normalizer.normalize_str(word)
             out += [p for p, _ in self.pieces.pre_tokenize_str(word)] if word else []
         return out + _LATIN_PIECES.findall(" ".join(run).lower())
 
