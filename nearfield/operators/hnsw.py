@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.distance import block_distances, pair_distances
-from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, checked_k, vectors_of
+from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, by_passes, checked_k, vectors_of
 
 #: A shard in a row: ids, levels, vectors (float32), each level's nodes and their links (-1: none), and deletion marks.
 SHARDS = "shard int, shards int, ids binary, levels binary, vectors binary, links array<binary>, deleted binary"
@@ -288,24 +289,20 @@ def insert(shards: DataFrame, df: DataFrame, config: Config, id_: str = "id", ve
 def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """(query_id, rank, id, distance): the merged best of all shards, which are searched where they lie.
 
-    Queries go out in blocks of bounded size; with several blocks, each one's results are written before the next is read.
+    Queries go out in blocks of bounded size; with several blocks, each one's results are added to a table before the next is read.
     A query of another length than the collection's is an error; one with null or infinite elements has no results.
     """
-    from ..sources.store import stored
-
     checked_k(k)
     effort = config.ef(k, ef)
     spark = shards.sparkSession
     rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<float>").alias("v"))
     schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("id", T.LongType()), T.StructField("distance", T.DoubleType())])
     blocks = _query_blocks(rows, np.dtype("f4"), QUERY_BLOCK_BYTES, 1 << 20, config.dimension)
-    done: list[DataFrame] = []
-    ahead = next(blocks, None)
-    while ahead is not None:
-        block, ahead = ahead, next(blocks, None)
+
+    def part(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
             ids, vectors = sent.value
@@ -317,15 +314,9 @@ def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: in
                     q, node, far = graph.search_many(vectors, k, effort)
                     yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(q)), pa.array(graph.ids[node]), pa.array(far)], schema=names)
 
-        part = shards.mapInArrow(run, schema)
-        if done or ahead is not None:
-            part = stored(part, "neighbours")
-            sent.destroy()
-        done.append(part)
-    out = done[0] if done else spark.createDataFrame([], schema)
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return _top(out, k)
+        return shards.mapInArrow(run, schema), sent
+
+    return _top(by_passes(spark, blocks, part, schema), k)
 
 
 def remove(shards: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,14 +6,13 @@ null vector, another length) or NaN are never results.  k beyond the table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import Metric
 from ..errors import InvalidArgument
 from ..functions.distance import block_distances, distance, pair_distances
-from ..sources.store import stored
+from ..sources.store import added, new_folder
 
 #: Query vectors that one pass over the base sends to each task, at most.
 QUERY_BLOCK_BYTES, BLOCK_QUERIES = 16 << 20, 4096
@@ -66,13 +65,15 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector", where: Column | None = None, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, id, distance) of the k rows nearest to each query among those that ``where`` keeps.
 
-    A block of queries of bounded size meets the base's rows, where they lie, as matrix products; a row's exact distance is
-    computed, in double, only where rounding leaves it a chance, and each task gives k candidates a query to the merge.
+    A pass over the base sends queries of bounded size to each task, where they meet the rows, block by block, as matrix
+    products: ``block_bytes`` bounds a product's queries, and a pass has as many blocks as ``QUERY_BLOCK_BYTES`` hold, one at
+    least, so small blocks cost no jobs.  A row's exact distance is computed, in double, only where rounding leaves it a
+    chance, and each task gives k candidates a query to the merge.
     Elements are used as they are stored, floats or doubles; ids may be of any ordered type.  Base rows with a null or NaN distance are
     never results: those of another length than the query, and those with null, NaN or infinite elements.  A query whose
     vector is null, empty or has such elements has no results.  Rows with one query id count as one query, as their results are
-    ranked together.  Queries are read block by block: with several blocks, each one's results are written to the shared
-    folder before the next is read, so the driver and the tasks hold one block.
+    ranked together.  Queries are read pass by pass: with several, each one's results are written to one table in the shared
+    folder before the next is read, so the driver and the tasks hold one pass's queries.
     """
     checked_k(k)
     spark = base.sparkSession
@@ -80,20 +81,30 @@ def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: Metric |
     kind = _element(queries, query_vector)
     source = _source(base, id_, vector, where)
     schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), T.StructField("id", source.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    done: list[DataFrame] = []
     most = max(1, min(BLOCK_QUERIES, BLOCK_RESULTS // max(k, 1)))
-    blocks = _query_blocks(rows.where("v is not null").withColumn("v", F.col("v").cast(f"array<{kind}>")), np.dtype("f4" if kind == "float" else "f8"), block_bytes, most)
-    ahead = next(blocks, None)
+    passes = _query_blocks(rows.where("v is not null").withColumn("v", F.col("v").cast(f"array<{kind}>")), np.dtype("f4" if kind == "float" else "f8"), max(block_bytes, QUERY_BLOCK_BYTES), most)
+    return _top(by_passes(spark, passes, lambda block: _block(source, block, k, Metric(metric).value, schema, block_bytes), schema), k)
+
+
+def by_passes(spark: SparkSession, passes: Iterator[tuple[list, np.ndarray]], run: Callable[[tuple[list, np.ndarray]], tuple[DataFrame, Broadcast]], schema: T.StructType) -> DataFrame:
+    """The rows that ``run`` finds for the queries of all passes.
+
+    Those of a single pass are found when they are read.  Of several, each one's are added to one table before the next
+    pass is read, so the plan doesn't grow with their number.
+    """
+    folder = None
+    ahead = next(passes, None)
+    if ahead is None:
+        return spark.createDataFrame([], schema)
     while ahead is not None:
-        block, ahead = ahead, next(blocks, None)
-        part, sent = _block(source, block, k, Metric(metric).value, schema)
-        if done or ahead is not None:
-            part = stored(part, "neighbours")
-            sent.destroy()
-        done.append(part)
-    if not done:
-        return _top(spark.createDataFrame([], schema), k)
-    return _top(reduce(DataFrame.unionByName, done), k)
+        block, ahead = ahead, next(passes, None)
+        part, sent = run(block)
+        if folder is None and ahead is None:
+            return part
+        folder = folder or new_folder(spark, "neighbours")
+        added(part, folder)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(folder)
 
 
 def nearest_rows(base: DataFrame, query: Sequence[float], k: int, metric: Metric | str = Metric.L2, id_: str = "id", vector: str = "vector", where: Column | None = None) -> DataFrame:
@@ -199,21 +210,23 @@ class _Best:
         self.limit[full] = self.far[last[full]]
 
 
-def _block(source: DataFrame, block: tuple[list, np.ndarray], k: int, metric: str, schema: T.StructType) -> tuple[DataFrame, Broadcast]:
+def _block(source: DataFrame, block: tuple[list, np.ndarray], k: int, metric: str, schema: T.StructType, block_bytes: int = QUERY_BLOCK_BYTES) -> tuple[DataFrame, Broadcast]:
     sent = source.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = sent.value
         names = to_arrow_schema(schema)
-        best = _Best(queries, k, metric, names.field("id").type)
-        tile = max(16, TILE_BYTES // (8 * max(len(queries), queries.shape[1])))
+        own = max(1, block_bytes // queries[0].nbytes)
+        bests = [_Best(queries[at : at + own], k, metric, names.field("id").type) for at in range(0, len(queries), own)]
+        tile = max(16, TILE_BYTES // (8 * max(min(own, len(queries)), queries.shape[1])))
         for batch in batches:
             ids, rows = vectors_of(batch, queries.shape[1])
             for at in range(0, len(ids), tile):
-                if k:
+                for best in bests if k else ():
                     best.take(ids.slice(at, tile), rows[at : at + tile])
-        owners = pa.array(query_ids, names.field("query_id").type).take(pa.array(best.owner))
-        yield pa.RecordBatch.from_arrays([owners, best.ids, pa.array(best.far)], schema=names)
+        all_ids = pa.array(query_ids, names.field("query_id").type)
+        for i, best in enumerate(bests):
+            yield pa.RecordBatch.from_arrays([all_ids.take(pa.array(best.owner + i * own)), best.ids, pa.array(best.far)], schema=names)
 
     return source.mapInArrow(run, schema), sent
 

@@ -135,3 +135,22 @@ def test_many_queries_come_partition_by_partition(spark, monkeypatch):
     one = sorted(map(tuple, nearest_batch(rows, queries, 2).collect()))
     monkeypatch.setattr(knn, "FEW_QUERIES", 4)
     assert sorted(map(tuple, nearest_batch(rows, queries, 2).collect())) == one and len(one) == 100
+
+
+def test_small_blocks_cost_no_jobs_and_passes_no_plan(spark, monkeypatch):
+    from nearfield.operators import knn
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-3, 4, (300, 6)).astype(np.float32)
+    rows = table(spark, list(enumerate(base.tolist()))).repartition(3)
+    queries = rows.select(F.col("id").alias("query_id"), "vector")
+    one = sorted(map(tuple, nearest_batch(rows, queries, 3).collect()))
+    made = []
+    monkeypatch.setattr(knn, "added", lambda df, path, f=knn.added: (made.append(path), f(df, path)))
+    # a block for each query, all in one pass
+    assert sorted(map(tuple, nearest_batch(rows, queries, 3, block_bytes=24).collect())) == one and len(one) == 900 and not made
+    # several passes are one table, and so one scan
+    monkeypatch.setattr(knn, "QUERY_BLOCK_BYTES", 24 * 100)
+    df = nearest_batch(rows, queries, 3, block_bytes=24)
+    assert sorted(map(tuple, df.collect())) == one and len(made) == 3 and len(set(made)) == 1
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
