@@ -9,7 +9,9 @@ nearest ``m`` nodes that came before it, and they to it; a node keeps the neares
 m above.  As the nearest of a set do not depend on the order in which it was gathered, a shard is built, and grows, with
 matrix products: the result is that of inserting its nodes one by one with a search that misses none, so
 ``ef_construction`` sets a floor that is always met.  A search takes the nearest nodes of an upper level and walks the lowest
-level from them with a beam, in step for many queries; deleted nodes are walked through and never returned.
+level from them with a beam, in step for many queries; deleted nodes are walked through and never returned.  A walk may miss
+nodes, so results are nearly those of brute force; an exact search lets a check follow, which compares each query with the
+shard's other nodes by matrix products, under the limit that the walk found, and adds what it missed.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.distance import block_distances, pair_distances
-from .knn import QUERY_BLOCK_BYTES, _query_blocks, _top, by_passes, checked_k, vectors_of
+from .knn import QUERY_BLOCK_BYTES, _Best, _query_blocks, _top, by_passes, checked_k, vectors_of
 
 #: A shard in a row: ids, levels, vectors (float32), each level's nodes and their links (-1: none), and deletion marks.
 SHARDS = "shard int, shards int, ids binary, levels binary, vectors binary, links array<binary>, deleted binary"
@@ -197,8 +199,11 @@ class Graph:
             starts = self._beams(queries, starts, _STARTS, level)[1]
         return starts
 
-    def search_many(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, distance) of at most k live nodes each, by (distance, id); distances are exact."""
+    def search_many(self, queries: np.ndarray, k: int, ef: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) of at most k live nodes each, by (distance, id); distances are exact.
+
+        ``exact``: so is the set, as nodes that the walk missed are added.
+        """
         live = int((~self.deleted).sum())
         empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not live or not k or not len(queries):
@@ -216,9 +221,23 @@ class Graph:
             order = np.lexsort((self.ids[node], far, q))
             rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
             keep = order[rank < k]
-            out.append((q[keep] + at, node[keep], far[keep]))
+            q, node, far = q[keep], node[keep], far[keep]
+            if exact:
+                q, node, far = self._completed(own, k, q, node, far)
+            out.append((q + at, node, far))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
+    def _completed(self, queries: np.ndarray, k: int, q: np.ndarray, node: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) of the k nearest live nodes, from what a walk found and what it missed."""
+        best = _Best(queries, k, self.config.metric.value, pa.int64()).start(q, far, pa.array(self.ids[node]))
+        known = np.broadcast_to(self.deleted, (len(queries), len(self.ids))).copy()
+        known[q, node] = True
+        for at in range(0, len(self.ids), 16 * _TILE):
+            part = slice(at, at + 16 * _TILE)
+            best.take(pa.array(self.ids[part]), self.vectors[part], known[:, part])
+        order = np.argsort(self.ids)
+        return best.owner, order[np.searchsorted(self.ids, best.ids.to_numpy(), sorter=order)], best.far
+
     def search(self, query: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of at most k live nodes, by (distance, id)."""
         _, node, far = self.search_many(np.asarray(query, np.float32)[None, :], k, ef)
@@ -286,11 +305,12 @@ def insert(shards: DataFrame, df: DataFrame, config: Config, id_: str = "id", ve
     return shards.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, SHARDS)
 
 
-def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
+def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector", exact: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the merged best of all shards, which are searched where they lie.
 
     Queries go out in blocks of bounded size; with several blocks, each one's results are added to a table before the next is read.
     A query of another length than the collection's is an error; one with null or infinite elements has no results.
+    ``exact``: nodes that the walks miss are added, at the cost of a scan of the shards.
     """
     checked_k(k)
     effort = config.ef(k, ef)
@@ -311,7 +331,7 @@ def search(shards: DataFrame, queries: DataFrame, k: int, config: Config, ef: in
             for batch in batches:
                 for at in range(batch.num_rows):
                     graph = Graph.unpacked(batch.slice(at, 1).to_pylist()[0], config)
-                    q, node, far = graph.search_many(vectors, k, effort)
+                    q, node, far = graph.search_many(vectors, k, effort, exact)
                     yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(q)), pa.array(graph.ids[node]), pa.array(far)], schema=names)
 
         return shards.mapInArrow(run, schema), sent

@@ -177,8 +177,17 @@ class _Best:
         self.ids = pa.array([], id_type)
         self.limit = np.full(len(queries), np.inf)  # the distance of a query's k-th row
 
-    def take(self, ids: pa.Array, rows: np.ndarray) -> None:
-        """Rows of a tile; what rounding could bring among the k best is computed again without cancellation."""
+    def start(self, owner: np.ndarray, far: np.ndarray, ids: pa.Array) -> _Best:
+        """Begin with rows found before: at most k a query, by (query, distance, id)."""
+        self.owner, self.far, self.ids = owner, far, ids
+        self._limits()
+        return self
+
+    def take(self, ids: pa.Array, rows: np.ndarray, known: np.ndarray | None = None) -> None:
+        """Rows of a tile; what rounding could bring among the k best is computed again without cancellation.
+
+        ``known``: (queries, rows) pairs that are left out, as those found before.
+        """
         n = len(rows)
         norms = np.einsum("ij,ij->i", rows, rows)
         largest = float(norms.max())
@@ -188,11 +197,16 @@ class _Best:
             rough = block_distances(self.single, rows, self.metric)
         scale = self.norms + largest if self.metric != "cosine" else np.full(len(self.norms), 2.0)
         slack = scale * (rows.shape[1] + 16) * 4 * np.finfo(rough.dtype).eps
+        if known is not None:
+            rough[known] = np.inf
         limit = self.limit
         if self.k < n and np.isinf(limit).any():  # until a query has k rows, the tile's own k-th is its limit
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
-        owner, at = np.nonzero(~(rough > (limit + slack)[:, None]))  # so also where the product overflows
-        del rough
+        near = ~(rough > (limit + slack)[:, None])  # so also where the product overflows
+        if known is not None:
+            near &= ~known
+        owner, at = np.nonzero(near)
+        del rough, near
         far = np.empty(len(owner))
         step = max(1, TILE_BYTES // (16 * rows.shape[1]))
         for s in range(0, len(owner), step):
@@ -205,6 +219,9 @@ class _Best:
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         keep = order[rank < self.k]
         self.owner, self.far, self.ids = owner[keep], far[keep], ids.take(pa.array(keep))
+        self._limits()
+
+    def _limits(self) -> None:
         full = np.bincount(self.owner, minlength=len(self.queries)) == self.k
         last = np.cumsum(np.bincount(self.owner, minlength=len(self.queries))) - 1
         self.limit[full] = self.far[last[full]]

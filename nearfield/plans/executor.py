@@ -66,16 +66,17 @@ def execute(query: KnnQuery, source: Source) -> DataFrame:
     return exact if len(rows) < query.k else spark.createDataFrame(rows, best.schema)
 
 
-def execute_batch(queries: DataFrame, k: int, ef: int, source: Source, query_id: str = "query_id", query_vector: str = "vector", filter: str | None = None) -> DataFrame:  # noqa: A002
+def execute_batch(queries: DataFrame, k: int, ef: int, source: Source, query_id: str = "query_id", query_vector: str = "vector", filter: str | None = None, exact: bool = False) -> DataFrame:  # noqa: A002
     """(query_id, rank, id, distance).
 
     With a filter the search is exact over the rows that it keeps; without one, and with an index, it is the index's.
+    ``exact``: what the index's walks miss is added.
     """
     where = filter_column(filter, F.col("metadata"), source.promoted)
     named = {"query_id": query_id, "query_vector": query_vector}
     if source.shards is None or where is not None:
         return nearest_batch(source.rows, queries, k, source.config.metric, where=where, **named)
-    found = hnsw.search(source.shards, queries, k, source.config, ef, **named)
+    found = hnsw.search(source.shards, queries, k, source.config, ef, **named, exact=exact)
     if source.delta is None:
         return found
     more = nearest_batch(source.delta, queries, k, source.config.metric, **named)

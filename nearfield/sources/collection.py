@@ -276,10 +276,13 @@ class Collection:
         self._usable()
         return execute(KnnQuery(tuple(map(float, query)), k, ef, filter), self.source())
 
-    def search_batch(self, queries: DataFrame, k: int, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector", filter: str | None = None) -> DataFrame:  # noqa: A002
-        """(query_id, rank, id, distance) for each row of ``queries``, among the live rows that the filter keeps."""
+    def search_batch(self, queries: DataFrame, k: int, ef: int = 0, query_id: str = "query_id", query_vector: str = "vector", filter: str | None = None, exact: bool = False) -> DataFrame:  # noqa: A002
+        """(query_id, rank, id, distance) for each row of ``queries``, among the live rows that the filter keeps.
+
+        An index may miss a few of the nearest; ``exact`` adds them.
+        """
         self._usable()
-        return execute_batch(queries, k, ef, self.source(), query_id, query_vector, filter)
+        return execute_batch(queries, k, ef, self.source(), query_id, query_vector, filter, exact)
 
     def source(self) -> Source:
         """What the planner reads from."""

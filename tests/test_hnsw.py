@@ -1,13 +1,16 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA, TABLES, same_as_sql
 from nearfield.config import Config
 from nearfield.errors import InvalidArgument
 from nearfield.functions.distance import exact_distances
 from nearfield.operators import hnsw
 from nearfield.operators.knn import nearest_batch
+from nearfield.queries import ORACLE_SQL, QUERIES
 
 
 def graph(vectors, ids=None, **options):
@@ -152,3 +155,44 @@ def test_inserting_into_stored_shards(spark):
     assert hnsw.count(shards) == 399
     queries = rows.where("id % 40 = 0").select(F.col("id").alias("query_id"), "vector")
     assert hnsw.recall(hnsw.search(shards, queries, 10, config), nearest_batch(rows.where("id <> 7"), queries, 10)).first().recall >= 0.95
+
+
+def islands(n, size, dim=64, seed=12):
+    """Tight groups of consecutive ids far from each other, which a graph's links hardly leave."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(-(-n // size), dim)) * 10
+    return (np.repeat(centres, size, 0)[:n] + rng.normal(size=(n, dim)) * 0.01).astype(np.float32)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_a_check_adds_what_the_walk_missed(metric):
+    v = islands(2000, 34, 8)
+    g = graph(v, ids=np.random.default_rng(13).permutation(2000), metric=metric)
+    g.deleted[::7] = True
+    live = np.flatnonzero(~g.deleted)
+    walked = 0
+    for k in (1, 10, 3000):
+        q, node, far = g.search_many(v[::50], k, 20, exact=True)
+        w = g.search_many(v[::50], k, 20)
+        for i in range(40):
+            d = exact_distances(v[i * 50], v[live], metric)
+            want = np.lexsort((g.ids[live], d))[:k]
+            assert node[q == i].tolist() == live[want].tolist() and far[q == i] == pytest.approx(d[want])
+            walked += w[1][w[0] == i].tolist() != live[want].tolist()
+    assert walked  # by the walk alone some differ
+
+
+def with_islands(folder, size):
+    """The tables with 4000 vectors in groups of ``size``."""
+    for name in TABLES:
+        if name != "embeddings":
+            (folder / f"{name}.parquet").symlink_to(DATA / f"{name}.parquet")
+    kinds = pq.read_schema(DATA / "embeddings.parquet")
+    v = islands(4000, size)
+    pq.write_table(pa.table({"vec_id": np.arange(4000), "embedding": list(v), "label": np.zeros(4000, int)}).select(kinds.names).cast(kinds), folder / "embeddings.parquet")
+    return folder
+
+
+def test_stored_graphs_equal_sql_on_islands(spark, tmp_path):
+    name = "hnsw_checkpoint_roundtrip"
+    same_as_sql(spark, QUERIES[name], ORACLE_SQL[name], with_islands(tmp_path, 40))
