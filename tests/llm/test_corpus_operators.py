@@ -305,6 +305,27 @@ def test_an_unrelated_smallest_document_hides_no_passage(spark):
     assert all(any(d == i and r.end_word - r.start_word >= 60 for (d, _), r in got.items()) for i in (1101, 1102))
 
 
+def test_edited_passages_are_linked_beside_the_smallest_document(spark):
+    rows, want = [], set()
+    for _ in range(40):
+        # the third is like the second, whose edit the first lacks and which has more than one edit against the first
+        passage = words(70)
+        second = [*passage[:20], "changed", *passage[21:]]
+        third = [*second[:45], "other", *second[46:]]
+        at = len(rows)
+        rows += [(at + i, " ".join(words(60) + p + words(60))) for i, p in enumerate((passage, second, third))]
+        want.add((at + 2, at + 1))
+    # many documents have a line of 30 words, and two of them an edited passage round it
+    line = words(30)
+    for i in range(20):
+        rows.append((1000 + i, " ".join(words(50) + line + words(50))))
+    before, after = words(12), words(30)
+    rows += [(1100 + i, " ".join(words(50) + before + line + [f"edit{i}"] + after + words(50))) for i in range(2)]
+    want.add((1101, 1100))
+    assert want <= {(r.doc_id, r.other) for r in substring.linked_pairs(docs(spark, rows)).collect()}
+    assert want <= {(r.doc_id, r.other_id) for r in substring.repeated_passages(docs(spark, rows)).collect()}
+
+
 def test_passages_equal_brute_force_on_the_tables(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in df.collect()}
